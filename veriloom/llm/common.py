@@ -9,12 +9,15 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
+
 #: Texts are handed to Python code in slices of about this many characters, so that memory is bounded
 #: by one slice (or one text, where a single text is longer) and not by Arrow's batch of rows.
 SLICE_CHARS = 4_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -84,6 +87,3 @@ def free_name(df: DataFrame, *wanted: str) -> list[str]:
         out.append(name)
     return out
 
-
-def count_rows(df: DataFrame) -> int:
-    return df.count()

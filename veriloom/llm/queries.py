@@ -26,12 +26,24 @@ def op2_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"), copy_col="copy")
 
 
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import exact_top_k
+
+    return exact_top_k(read(spark, sf_dir, "embeddings"), 20, 20, 64)
+
+
 def op4_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
     return pack(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), 2048)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity_scores
+
+    return toxicity_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), 0.5)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_components
 
@@ -44,16 +56,41 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), 4096)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_scores
+
+    return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), 0.3)
+
+
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import embedding_components
+
+    return embedding_components(read(spark, sf_dir, "embeddings"), 0.9)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op2_poisson_mixing, op4_pattern_packing, op6_simhash, op7_token_counts)}
+#: Every pair of a query and a candidate; only for the small tables of the correctness run.
+TOPK_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+QUERIES = {f.__name__: f for f in (op2_poisson_mixing, op3_exact_topk, op4_pattern_packing, op5_toxicity, op6_simhash, op7_token_counts, op9_quality, op10_embedding_dedup, pipeline)}
 
 
 def oracles() -> dict[str, str]:
     from .mixing import MIX_SQL
 
-    return {"op2_poisson_mixing": MIX_SQL.format(docs="documents", columns="doc_id, text, lang, source, n_chars, copy")}
+    return {
+        "op3_exact_topk": TOPK_SQL,
+        "op2_poisson_mixing": MIX_SQL.format(docs="documents", columns="doc_id, text, lang, source, n_chars, copy"),
+    }
