@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .common import read
 
@@ -19,6 +18,12 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_scan
+
+    return license_scan(read(spark, sf_dir, "documents"))
+
+
 def op2_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents mixed to shares that grow as the square root of a source's size, shuffled globally."""
     from .mixing import mix
@@ -56,6 +61,13 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), 4096)
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversations written as raw transcripts with markers of several styles, parsed again without their roles."""
+    from .chat import as_transcripts, format_transcripts
+
+    return format_transcripts(as_transcripts(read(spark, sf_dir, "conversations")))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_scores
 
@@ -84,7 +96,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
-QUERIES = {f.__name__: f for f in (op2_poisson_mixing, op3_exact_topk, op4_pattern_packing, op5_toxicity, op6_simhash, op7_token_counts, op9_quality, op10_embedding_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_poisson_mixing, op3_exact_topk, op4_pattern_packing, op5_toxicity, op6_simhash, op7_token_counts, op8_chat_format, op9_quality, op10_embedding_dedup, pipeline)}
 
 
 def oracles() -> dict[str, str]:
