@@ -37,12 +37,19 @@ GROUPS = 256
 GROUP_ROWS = 2_000
 
 
+#: A word of Latin-1 letters with punctuation after it.  The normaliser only lowers these letters, the
+#: pre-tokenizer cuts between letters and punctuation, and so the word's ids are those of its two parts.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)").fullmatch
+#: How the byte-level pre-tokenizer writes the UTF-8 bytes of lower-case Latin-1 letters: each as the character of that number, but for those that are no printable characters of Latin-1.
+_BYTES = {b: chr(256 + 33 + b - 127) if 127 <= b <= 160 else chr(256 + 67) if b == 173 else chr(b) for b in range(33, 256)}
+
+
 class WordIds:
     """Ids of whole texts as the tokenizer gives them, as little-endian bytes.
 
     The tokenizer drops white space before it merges, and its normaliser changes nothing across white
     space, so a text's ids are those of its words one after another; each distinct word is encoded once
-    a batch and remembered.
+    a batch and remembered.  Plain words go to the tokenizer's merges directly, others through the whole of it.
     """
 
     def __init__(self, path: str, end_id: int = 0):
@@ -56,6 +63,8 @@ class WordIds:
         self.model.no_padding()
         self.end = int(end_id).to_bytes(4, "little")
         self.memo: dict[str, bytes] = {}
+        marks = [a + b + c for a in ["", *".,;:!?"] for b in ["", *".,;:!?"] for c in ["", *".,;:!?"]]
+        self.marks = {m: np.array(self.model.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in marks}
 
     def of(self, texts: list[str]) -> list[bytes]:
         words = [t.split() if not any(c in t for c in _ODD) else [w for w in _SPACE.split(t) if w] for t in texts]
@@ -63,14 +72,24 @@ class WordIds:
         if len(need) + len(self.memo) > MEMO:
             self.memo = {}
             need = set().union(*words)
-        fresh = list(need)
-        for at in range(0, len(fresh), 50_000):
-            part = fresh[at : at + 50_000]
+        memo, odd, merge = self.memo, [], self.model.model.tokenize
+        for w in need:
+            m = _PLAIN(w)
+            if m is None or m[2] and m[2] not in self.marks:
+                odd.append(w)
+                continue
+            core = m[1].lower()
+            ids = memo.get(core)
+            if ids is None:
+                ids = memo[core] = np.array([t.id for t in merge(core if core.isascii() else "".join(map(_BYTES.__getitem__, core.encode())))], "<u4").tobytes()
+            memo[w] = ids + self.marks[m[2]]
+        for at in range(0, len(odd), 50_000):
+            part = odd[at : at + 50_000]
             for w, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.memo[w] = np.array(e.ids, "<u4").tobytes()
+                memo[w] = np.array(e.ids, "<u4").tobytes()
         get = self.memo.__getitem__
         out = [b"".join(map(get, ws)) + self.end for ws in words]
-        for w in fresh:
+        for w in need:
             if len(w) > MEMO_CHARS:
                 del self.memo[w]
         return out
