@@ -68,11 +68,15 @@ def search_block(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray,
     """The k best candidates of the block for each query, and ties within it by smaller id: query ids, candidate ids, scores."""
     order = np.argsort(cid, kind="stable")
     cid, c = cid[order], c[order]
-    exact = c.astype(np.float64) if float(np.abs(c).max(initial=0)) * float(np.abs(q).max(initial=0)) * c.shape[1] < 2**52 else c
-    to_c, to_q = distances(c, pivots).T.copy(), distances(q, pivots)
+    # Sums of products of integers are exact in a float of enough bits.
+    largest = float(np.abs(c).max(initial=0)) * float(np.abs(q).max(initial=0)) * c.shape[1]
+    exact = c.astype(np.float32) if largest < 2**24 else c.astype(np.float64) if largest < 2**53 else c
+    to_c, to_q = distances(c, pivots).T.astype(np.float32), distances(q, pivots).astype(np.float32)
     c2, q2 = (c.astype(np.float64) ** 2).sum(axis=1), (q.astype(np.float64) ** 2).sum(axis=1)
+    # Bounds are taken in 32 bits and widened by more than that rounding.
+    half_c2 = (c2 * (0.5 + 1e-5) + 1e-3).astype(np.float32)
     out_q, out_c, out_s = [], [], []
-    low, gap = np.empty(len(c)), np.empty(len(c))
+    low, gap = np.empty(len(c), np.float32), np.empty(len(c), np.float32)
     for i in range(len(q)):
         low.fill(0.0)
         for p in range(len(pivots)):
@@ -80,26 +84,33 @@ def search_block(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray,
             np.abs(gap, out=gap)
             np.maximum(low, gap, out=low)
         np.multiply(low, low, out=low)
-        # A little more than the bound, for the rounding of squares and roots.
-        bound = (q2[i] + c2 - low) / 2 + 1e-6 * (q2[i] + c2) + 1e-6
-        own = cid == qid[i]
-        bound[own] = -np.inf
+        low *= np.float32(-0.5)
+        low += half_c2
+        low += np.float32(q2[i] * (0.5 + 1e-5))
+        low[cid == qid[i]] = -np.inf
         mine = q[i].astype(exact.dtype)
-        best_s, best_c, done, size = np.empty(0), np.empty(0, np.int64), 0, 4 * k
-        ranked = np.empty(0, np.int64)
-        while done < len(c):
-            if done == len(ranked):  # order the next candidates by bound, more each time
-                size = min(len(c), max(size * 4, 256))
-                ranked = np.argpartition(-bound, size - 1)[:size] if size < len(c) else np.arange(len(c))
-                ranked = ranked[np.argsort(-bound[ranked], kind="stable")]
-            now = ranked[done : done + 64]
-            if bound[now[0]] == -np.inf or len(best_s) >= k and bound[now[0]] < best_s[k - 1]:
-                break
-            now = now[bound[now] > -np.inf]
-            done += 64 if len(now) == 64 else len(ranked[done : done + 64])
-            best_s, best_c = np.concatenate([best_s, exact[now] @ mine]), np.concatenate([best_c, cid[now]])
+        best_s, best_c = np.empty(0, np.int64 if exact.dtype.kind == "i" else np.float64), np.empty(0, np.int64)
+        # Candidates in the order of their bounds, more at a time as they go on; those below the k-th best end the search.
+        rest, size = np.flatnonzero(low > -np.inf), 8 * k
+        while len(rest):
+            if size < len(rest):
+                split = np.argpartition(-low[rest], size - 1)
+                now, rest = rest[split[:size]], rest[split[size:]]
+            else:
+                now, rest = rest, rest[:0]
+            scores = exact.take(now, axis=0) @ mine
+            if len(best_s) >= k:
+                good = scores >= best_s[k - 1]
+                now, scores = now[good], scores[good]
+            best_s, best_c = np.concatenate([best_s, scores]), np.concatenate([best_c, cid[now]])
+            if len(best_s) > 4 * k:
+                near = best_s >= np.partition(best_s, len(best_s) - k)[len(best_s) - k]
+                best_s, best_c = best_s[near], best_c[near]
             top = np.lexsort((best_c, -best_s))[:k]
             best_s, best_c = best_s[top], best_c[top]
+            if len(best_s) >= k:
+                rest = rest[low[rest] >= best_s[k - 1]]
+            size *= 4
         out_q += [int(qid[i])] * len(best_c)
         out_c += best_c.tolist()
         out_s += [int(s) for s in best_s]
