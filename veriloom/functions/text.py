@@ -63,7 +63,7 @@ def normalize(text: Column) -> Column:
 
 
 def escape_percent(text: Column) -> Column:
-    return sub(text, (r"(?<!\\)%", r"\\\\%"))
+    return sub(text, (r"(?<!\\)%", r"\\%"))
 
 
 def language(text: Column) -> Column:

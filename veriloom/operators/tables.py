@@ -70,7 +70,7 @@ def prose_table(docs: DataFrame) -> DataFrame:
         "label": F.when(one, F.get("hits", F.lit(0))["label"]).otherwise(F.col("before.label")), "cells": F.when(one, F.get("hits", F.lit(0))["values"]).otherwise(F.col("before.values")),
         "close": one | (F.col("at") - F.col("before.p") - F.length("before.label") <= P.LABEL_REACH), "value": num(F.col("number")), "digits": places(F.col("number")),
     })
-    quoted = F.regexp_replace("number", r"([.\-])", r"\\\\$1")
+    quoted = F.regexp_replace("number", r"([.\-])", r"\\$1")
     rough, setting = F.concat(F.lit("(?i)" + P.PY_APPROXIMATE), quoted, F.lit(r"(?!\d)")), F.concat(F.lit(r"[A-Za-z\\}]\s*=\s*\$?\s*"), quoted, F.lit(r"(?!\d)"))
     value, digits = F.col("value"), F.col("digits")
     each = each.where(~F.rlike("s", rough) & ~F.rlike("s", setting) & ~F.array_contains("verbatim", F.regexp_replace("number", "^-+", "")))
