@@ -7,13 +7,14 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
 
-#: Texts are handed to Python code in slices of about this many characters, so that memory is bounded
+#: Texts are handed to Python code in slices of about this many bytes, so that memory is bounded
 #: by one slice (or one text, where a single text is longer) and not by Arrow's batch of rows.
-SLICE_CHARS = 4_000_000
+SLICE_BYTES = 4_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -41,14 +42,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch between the JVM and Python, at most; texts are long, and buffers are doubled as they grow.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have the session hand rows to Python in batches of BATCH_BYTES, unless they are smaller already."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key)
+    units = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    size = int(now.rstrip("bkmgBKMG")) * units.get(now[-1].lower(), 1)
+    if size <= 0 or size > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Parts of an Arrow batch with their texts; null texts come as empty ones."""
     texts = batch.column(batch.schema.get_field_index(column))
     offset, size = 0, 0
-    lengths = [len(x) if (x := t.as_py()) else 0 for t in texts] if batch.num_rows else []
+    lengths = pc.binary_length(texts).to_pylist()
     for i, n in enumerate(lengths):
-        size += n
-        if size >= SLICE_CHARS or i == len(lengths) - 1:
+        size += n or 0
+        if size >= SLICE_BYTES or i == len(lengths) - 1:
             part = batch.slice(offset, i + 1 - offset)
             yield part, [x or "" for x in part.column(batch.schema.get_field_index(column)).to_pylist()]
             offset, size = i + 1, 0
@@ -72,6 +87,7 @@ def map_texts(df: DataFrame, column: str, function: Callable[[], Callable[[list[
     from pyspark.sql.types import StructType
 
     names = StructType.fromDDL(schema).names
+    small_batches(df.sparkSession)
     return df.select(*keep, column).mapInArrow(run, schema)
 
 

@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, materialize
 
-#: Words remembered in a worker with their ids; beyond that all go.  Longer words are not remembered.
-MEMO = 1_000_000
+#: Words remembered in a worker with their ids; beyond that only those of the texts at hand stay.  Longer words are not remembered.
+MEMO = 450_000
 MEMO_CHARS = 48
 #: The pre-tokenizer's white space, and the characters that Python splits at but it does not.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -70,8 +70,8 @@ class WordIds:
         words = [t.split() if not any(c in t for c in _ODD) else [w for w in _SPACE.split(t) if w] for t in texts]
         need = set().union(*words).difference(self.memo) if words else set()
         if len(need) + len(self.memo) > MEMO:
-            self.memo = {}
-            need = set().union(*words)
+            # Words in use stay: the frequent ones are among them.
+            self.memo = {w: self.memo[w] for w in set().union(*words).difference(need)}
         memo, odd, merge = self.memo, [], self.model.model.tokenize
         for w in need:
             m = _PLAIN(w)

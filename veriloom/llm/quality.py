@@ -13,6 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .labelled import sample
 from .toxicity import score_column, scored
 
@@ -128,6 +129,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, p
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_class: int = PER_CLASS, most_chars: int = MOST_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, with a score of the threshold or more."""
+    small_batches(docs.sparkSession)
     return docs.where(score_column(model(docs, labels, per_class, most_chars, id_col, text_col), F.col(text_col)) >= threshold)
 
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, map_texts, materialize
+from .common import free_name, map_texts, materialize, small_batches
 from .components import components
 
 BITS = 2
@@ -142,6 +142,7 @@ def keep_one(docs: DataFrame, bucket_rows: int = 256, id_col: str = "doc_id", te
     A null id counts as larger than any other; among equal ids the least fingerprint decides, and rows
     that agree in both stay once.  Empty and null texts are one component like any other.
     """
+    small_batches(docs.sparkSession)
     names = docs.columns
     no_id, key, fp = free_name(docs, "no_id", "key", "fp")
     made = materialize(fingerprints(docs, id_col, text_col), "fingerprints")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, slices
+from .common import map_texts, slices, small_batches
 from .labelled import fold, sample
 
 #: Hash buckets of the embedding table, its width, filters of each width, and the widths.
@@ -34,7 +34,7 @@ PER_CLASS = 3_000
 MOST_CHARS = 60_000
 #: Words of a window, and words remembered in a worker.
 WINDOW = 100_000
-MEMO = 400_000
+MEMO = 200_000
 #: Function words by which a text's language is guessed; any other text is of language 0.
 FUNCTION_WORDS = (
     "the of and to in is was that with for are this from have which",
@@ -266,6 +266,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5,
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, per_class: int = PER_CLASS, most_chars: int = MOST_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, with a score below the threshold."""
+    small_batches(docs.sparkSession)
     return docs.where(score_column(model(docs, labels, per_class, most_chars, id_col, text_col), F.col(text_col)) < threshold)
 
 
