@@ -54,17 +54,27 @@ def text_of(template: str, **values: str | Column) -> Column:
     return F.concat(*(F.lit(p) if i % 2 == 0 else (values[p] if isinstance(values.get(p), Column) else F.col(values.get(p, p))).cast("string") for i, p in enumerate(parts)))
 
 
-def check_query(name: str, check: str | tuple[str, ...], base_sql: str, template: str, values: dict[str, str | Column], out: dict[str, Column], oracle: str) -> None:
-    """Register a query: manuscripts from the base rows, one or more checks over them, and the columns of each finding that are compared."""
-    checks = (check,) if isinstance(check, str) else check
+def _printed(spec: str) -> Column:
+    """tenths:n, hundredths:n or thousandths:n, or a column by its name."""
+    form, _, n = spec.rpartition(":")
+    return {"tenths": tenths, "hundredths": hundredths, "thousandths": thousandths}[form](n) if form else F.col(n)
+
+
+def _compared(spec: str | int) -> Column:
+    """A finding's number by its place, how many it has (#numbers), or a column by its name."""
+    return number(spec) if isinstance(spec, int) else F.size("numbers").cast("long") if spec == "#numbers" else F.col(spec)
+
+
+def check_query(name: str, check: str, base_sql: str, template: str, values: dict[str, str], out: dict[str, str | int], oracle: str) -> None:
+    """Register a query: manuscripts from the base rows, a check over them, and the columns of each finding that are compared.
+
+    Columns are named and made only when the query runs, as a session must be there for that.
+    """
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = _base(spark, sf_dir, base_sql).select("doc_id", text_of(template, **values).alias("text"), F.lit("").alias("bib"))
-        found = None
-        for c in checks:
-            part = base.CHECKS[c].run(docs)
-            found = part if found is None else found.unionByName(part)
-        return found.select("doc_id", "category", *(c.alias(n) for n, c in out.items()))
+        text = text_of(template, **{k: _printed(v) for k, v in values.items()})
+        docs = _base(spark, sf_dir, base_sql).select("doc_id", text.alias("text"), F.lit("").alias("bib"))
+        return base.CHECKS[check].run(docs).select("doc_id", "category", *(_compared(c).alias(n) for n, c in out.items()))
 
     QUERIES[name] = run
     ORACLES[name] = f"WITH base AS ({_plain(base_sql)}) {oracle}"
@@ -79,8 +89,8 @@ _ORDER_COUNTS = """SELECT o_custkey AS doc_id, count(*) AS n, count(CASE WHEN o_
   CAST(floor((2000 * count(CASE WHEN o_orderstatus = 'F' THEN 1 END) + count(*)) / (2 * count(*))) AS BIGINT) + CASE WHEN o_custkey % 7 = 0 THEN 20 ELSE 0 END AS t
   FROM {orders} GROUP BY o_custkey"""
 check_query(
-    "percent_count", "percent_counts", _ORDER_COUNTS, r"\begin{document}Of the orders, <k>/<n> (<p>\%) were filled.\end{document}", {"p": tenths("t")},
-    {"severity": F.col("severity"), "p": number(0), "k": number(1), "n": number(2)},
+    "percent_count", "percent_counts", _ORDER_COUNTS, r"\begin{document}Of the orders, <k>/<n> (<p>\%) were filled.\end{document}", {"p": "tenths:t"},
+    {"severity": "severity", "p": 0, "k": 1, "n": 2},
     "SELECT doc_id, 'percent_count_mismatch' AS category, 'major' AS severity, t / 10.0::DOUBLE AS p, k::DOUBLE AS k, n::DOUBLE AS n FROM base WHERE abs(100.0::DOUBLE * k / n - t / 10.0::DOUBLE) > 0.05 + 1e-9",
 )
 
@@ -89,8 +99,8 @@ _NATION_COUNTS = """SELECT CAST(c_nationkey AS BIGINT) AS doc_id, count(*) AS n,
 _NATION_SHARES = f"""SELECT doc_id, k1, k2, k3, CAST(floor((2000 * k1 + n) / (2 * n)) AS BIGINT) AS t1, CAST(floor((2000 * k2 + n) / (2 * n)) AS BIGINT) + CASE WHEN doc_id % 3 = 0 THEN 45 ELSE 0 END AS t2,
   CAST(floor((2000 * k3 + n) / (2 * n)) AS BIGINT) AS t3 FROM ({_NATION_COUNTS}) q WHERE k1 > 0 AND k2 > 0 AND k3 > 0"""
 check_query(
-    "percent_outlier", "percent_denominators", _NATION_SHARES, r"Orders were filled in <k1> (<p1>\%), open in <k2> (<p2>\%) and partial in <k3> (<p3>\%) cases.", {f"p{i}": tenths(f"t{i}") for i in (1, 2, 3)},
-    {"p": number(0), "k": number(1)},
+    "percent_outlier", "percent_denominators", _NATION_SHARES, r"Orders were filled in <k1> (<p1>\%), open in <k2> (<p2>\%) and partial in <k3> (<p3>\%) cases.", {f"p{i}": f"tenths:t{i}" for i in (1, 2, 3)},
+    {"p": 0, "k": 1},
     """, e AS (SELECT doc_id, unnest([{'i': 1, 'k': k1, 't': t1}, {'i': 2, 'k': k2, 't': t2}, {'i': 3, 'k': k3, 't': t3}], recursive := true) FROM base),
     r AS (SELECT *, ceil(k * 100 / (t / 10.0::DOUBLE + 0.05) - 1e-9) AS lo, floor(k * 100 / greatest(t / 10.0::DOUBLE - 0.05, 1e-9) + 1e-9) AS hi FROM e),
     g AS (SELECT doc_id, max(lo) AS lo, min(hi) AS hi, max(hi - lo) AS w, min(t) AS least, max(t) AS most FROM r GROUP BY doc_id),
@@ -103,8 +113,8 @@ check_query(
 _RANGES = """SELECT o_custkey AS doc_id, CAST(floor(min(o_totalprice)) AS BIGINT) AS a, CAST(floor(max(o_totalprice)) AS BIGINT) AS b FROM {orders} GROUP BY o_custkey"""
 _CHANGES = f"""SELECT doc_id, a, b, CAST(floor((2000 * (b - a) + a) / (2 * a)) AS BIGINT) + CASE WHEN doc_id % 5 = 0 THEN 53 ELSE 0 END AS t FROM ({_RANGES}) q WHERE b > a AND a > 0"""
 check_query(
-    "relative_change", "relative_changes", _CHANGES, r"\begin{document}Spending rose from <a> to <b>, a <c>\% increase over the year.\end{document}", {"c": tenths("t")},
-    {"c": number(0), "a": number(1), "b": number(2)},
+    "relative_change", "relative_changes", _CHANGES, r"\begin{document}Spending rose from <a> to <b>, a <c>\% increase over the year.\end{document}", {"c": "tenths:t"},
+    {"c": 0, "a": 1, "b": 2},
     """, x AS (SELECT doc_id, a::DOUBLE AS a, b::DOUBLE AS b, t / 10.0::DOUBLE AS c FROM base),
     y AS (SELECT *, list_min([abs(c - (b - a)), abs(c - (b - a) / a * 100), abs(c - (b - a) / b * 100), abs(c - a / b * 100), abs(c - b / a * 100)]) AS gap, 0.05 + c * (0.5 / a + 0.5 / b) + 1e-9 AS slack FROM x)
     SELECT doc_id, 'relative_change_mismatch' AS category, c, a, b FROM y WHERE gap > slack AND c <> a AND c <> b""",
@@ -112,45 +122,45 @@ check_query(
 
 check_query(
     "same_change", "same_changes", "SELECT CAST(o_custkey AS BIGINT) AS doc_id, min(extract(day FROM o_orderdate)) AS x, max(extract(day FROM o_orderdate)) AS y FROM {orders} GROUP BY o_custkey",
-    r"\begin{document}It reached a <x>\% delivery time reduction. Later it reached a <y>\% delivery time reduction.\end{document}", {}, {"x": number(0), "y": number(1)},
+    r"\begin{document}It reached a <x>\% delivery time reduction. Later it reached a <y>\% delivery time reduction.\end{document}", {}, {"x": 0, "y": 1},
     "SELECT doc_id, 'same_change_different_values' AS category, x::DOUBLE AS x, y::DOUBLE AS y FROM base WHERE x <> y",
 )
 
 check_query(
     "product_total", "product_totals", "SELECT p_partkey AS doc_id, CAST(p_size AS BIGINT) AS a, p_partkey % 9 + 2 AS b, p_size * (p_partkey % 9 + 2) * (CASE WHEN p_partkey % 6 = 0 THEN 2 ELSE 1 END) AS total FROM {part}",
-    "We store <total> pieces (<a> boxes x <b> layers) in all.", {}, {"total": number(0), "product": number(1)},
+    "We store <total> pieces (<a> boxes x <b> layers) in all.", {}, {"total": 0, "product": 1},
     "SELECT doc_id, 'product_total_mismatch' AS category, total::DOUBLE AS total, (a * b)::DOUBLE AS product FROM base WHERE abs(a * b - total) / greatest(total, 1)::DOUBLE > 0.06",
 )
 
 check_query(
     "compute_budget", "compute_budget", "SELECT s_suppkey AS doc_id, s_suppkey % 7 + 2 AS t, s_suppkey % 5 + 1 AS s, s_suppkey % 11 + 3 AS g, (s_suppkey % 7 + 2) * (s_suppkey % 5 + 1) * (s_suppkey % 11 + 3) + CASE WHEN s_suppkey % 4 = 0 THEN 60 ELSE 0 END AS p FROM {supplier}",
-    "It takes 3 hours per seed-task (<g> GPU-hours); <t> tasks x <s> seeds = <p> GPU-hours of primary training.", {}, {"severity": F.col("severity"), "stated": number(0), "computed": number(1)},
+    "It takes 3 hours per seed-task (<g> GPU-hours); <t> tasks x <s> seeds = <p> GPU-hours of primary training.", {}, {"severity": "severity", "stated": 0, "computed": 1},
     "SELECT doc_id, 'compute_budget_inconsistency' AS category, 'critical' AS severity, p::DOUBLE AS stated, (t * s * g)::DOUBLE AS computed FROM base WHERE abs(t * s * g - p) / greatest(p, 1)::DOUBLE > 0.15",
 )
 
 check_query(
     "cross_section", "cross_sections", "SELECT o_custkey AS doc_id, min(o_orderkey) % 90 + 1 AS x, max(o_orderkey) % 90 + 1 AS y, sum(o_orderkey) % 90 + 1 AS z FROM {orders} GROUP BY o_custkey",
     r"\begin{document}The first of our three sites has MAPE = <x> overall. " + "This long remark about weather and travel stands here so that the sites lie apart. " * 2 + r"The second site has MAPE = <y> overall. " + "This long remark about weather and travel stands here so that the sites lie apart. " * 2 + r"The third one has MAPE = <z> overall.\end{document}", {},
-    {"severity": F.col("severity")},
+    {"severity": "severity"},
     "SELECT doc_id, 'cross_section_number_disagreement' AS category, 'minor' AS severity FROM base WHERE x <> y AND y <> z AND x <> z",
 )
 
 check_query(
     "split_shares", "split_shares", "SELECT o_orderkey AS doc_id, o_orderkey % 41 + 50 AS a, o_custkey % 31 + 5 AS b, o_orderkey % 13 + 3 AS c FROM {orders}",
-    r"We take <a>\% train, <b>\% val and <c>\% test rows.", {}, {"severity": F.col("severity")},
+    r"We take <a>\% train, <b>\% val and <c>\% test rows.", {}, {"severity": "severity"},
     "SELECT doc_id, 'split_percentages_exceed_100' AS category, 'major' AS severity FROM base WHERE a + b + c > 101.5",
 )
 
 _QUANTITIES = """SELECT l_orderkey AS doc_id, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS s, CAST(sum(l_quantity * l_quantity) AS BIGINT) AS q FROM {lineitem} GROUP BY l_orderkey"""
 check_query(
     "grim", "grim", f"SELECT doc_id, n, CAST(floor((200 * s + n) / (2 * n)) AS BIGINT) + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS h FROM ({_QUANTITIES}) x WHERE n > 1",
-    r"\begin{document}The mean rating was <m> on the scale (N = <n>).\end{document}", {"m": hundredths("h")}, {"m": number(0)},
+    r"\begin{document}The mean rating was <m> on the scale (N = <n>).\end{document}", {"m": "hundredths:h"}, {"m": 0},
     "SELECT doc_id, 'grim_infeasible_mean' AS category, h / 100.0::DOUBLE AS m FROM base WHERE len(list_filter(range((floor(h / 100.0::DOUBLE * n))::BIGINT - 1, (floor(h / 100.0::DOUBLE * n))::BIGINT + 3), lambda k: k >= 0 AND round_even(k::DOUBLE / n * 100, 0) = h)) = 0",
 )
 
 check_query(
     "grimmer", "grimmer", f"SELECT doc_id, n, CAST(floor((200 * s + n) / (2 * n)) AS BIGINT) AS h, CAST(floor(100 * sqrt(greatest(q - CAST(s AS DOUBLE) * s / n, 0) / (n - 1)) + 0.5) AS BIGINT) + CASE WHEN doc_id % 4 = 0 THEN 7 ELSE 0 END AS d FROM ({_QUANTITIES}) x WHERE n > 1",
-    r"\begin{document}The answers on the scale gave M = <m>, SD = <sd>, n = <n> in all.\end{document}", {"m": hundredths("h"), "sd": hundredths("d")}, {"m": number(0), "sd": number(1)},
+    r"\begin{document}The answers on the scale gave M = <m>, SD = <sd>, n = <n> in all.\end{document}", {"m": "hundredths:h", "sd": "hundredths:d"}, {"m": 0, "sd": 1},
     """, x AS (SELECT *, h / 100.0::DOUBLE AS m, d / 100.0::DOUBLE AS sd FROM base WHERE d > 0 AND h >= 100),
     y AS (SELECT *, ceil((m - 0.005) * n - 1e-9)::BIGINT AS a, floor((m + 0.005) * n + 1e-9)::BIGINT AS b FROM x),
     z AS (SELECT *, list_filter(range(a, b + 1), lambda t: ceil((n - 1) * greatest(sd - 0.005, 0) ** 2 + t * t / n::DOUBLE - 1e-9) + ((ceil((n - 1) * greatest(sd - 0.005, 0) ** 2 + t * t / n::DOUBLE - 1e-9)::BIGINT - t) % 2 + 2) % 2 <= (n - 1) * (sd + 0.005) ** 2 + t * t / n::DOUBLE + 1e-9) AS ok FROM y WHERE b >= a)
@@ -191,27 +201,27 @@ _TAIL = f"((((1.061405429 / (1 + {_X}) - 1.453152027) / (1 + {_X}) + 1.421413741
 _Z = "SELECT o_orderkey AS doc_id, 20 + o_orderkey % 230 AS z FROM {orders}"
 _PZ = f"SELECT doc_id, z, CAST(floor(1000 * ({_TAIL}) + 0.5) AS BIGINT) + CASE WHEN doc_id % 4 = 0 THEN 60 ELSE 0 END AS p FROM ({_Z}) x"
 check_query(
-    "pvalue_recompute", "p_values", _PZ, "The arms were compared, z = <zz>, p = <pp>.", {"zz": hundredths("z"), "pp": thousandths("p")}, {"p": number(0)},
+    "pvalue_recompute", "p_values", _PZ, "The arms were compared, z = <zz>, p = <pp>.", {"zz": "hundredths:z", "pp": "thousandths:p"}, {"p": 0},
     "SELECT doc_id, 'pvalue_recompute_mismatch' AS category, p / 1000.0::DOUBLE AS p FROM base WHERE doc_id % 4 = 0",
 )
 check_query(
-    "pvalue_z", "z_pairs", f"SELECT doc_id, z, CASE WHEN doc_id % 4 = 0 THEN greatest(1, CAST(floor(p / 8) AS BIGINT)) ELSE p END AS p, p AS was FROM ({_PZ.replace('60', '0')}) y WHERE p >= 40", "They report z = <zz>, p = <pp>.", {"zz": hundredths("z"), "pp": thousandths("p")}, {"p": number(0)},
+    "pvalue_z", "z_pairs", f"SELECT doc_id, z, CASE WHEN doc_id % 4 = 0 THEN greatest(1, CAST(floor(p / 8) AS BIGINT)) ELSE p END AS p, p AS was FROM ({_PZ.replace('60', '0')}) y WHERE p >= 40", "They report z = <zz>, p = <pp>.", {"zz": "hundredths:z", "pp": "thousandths:p"}, {"p": 0},
     "SELECT doc_id, 'pvalue_z_mismatch' AS category, p / 1000.0::DOUBLE AS p FROM base WHERE doc_id % 4 = 0",
 )
 check_query(
-    "pvalue_t", "t_pairs", f"SELECT doc_id, z, CASE WHEN doc_id % 4 = 0 THEN greatest(1, CAST(floor(p / 20) AS BIGINT)) ELSE p END AS p FROM ({_PZ.replace('60', '0')}) y WHERE p >= 60", "They report t = <zz>, p = <pp>.", {"zz": hundredths("z"), "pp": thousandths("p")}, {"p": number(0)},
+    "pvalue_t", "t_pairs", f"SELECT doc_id, z, CASE WHEN doc_id % 4 = 0 THEN greatest(1, CAST(floor(p / 20) AS BIGINT)) ELSE p END AS p FROM ({_PZ.replace('60', '0')}) y WHERE p >= 60", "They report t = <zz>, p = <pp>.", {"zz": "hundredths:z", "pp": "thousandths:p"}, {"p": 0},
     "SELECT doc_id, 'pvalue_t_impossible' AS category, p / 1000.0::DOUBLE AS p FROM base WHERE doc_id % 4 = 0",
 )
 _ESTIMATES = """SELECT c_custkey AS doc_id, c_custkey % 41 - 20 + CASE WHEN c_custkey % 9 = 0 THEN 40 ELSE 0 END AS m, c_custkey % 41 - 20 - c_custkey % 17 - 1 AS lo, c_custkey % 41 - 20 + c_custkey % 17 + 1 AS hi, CASE WHEN c_custkey % 2 = 0 THEN 10 ELSE 400 END AS p FROM {customer}"""
 check_query(
-    "intervals", "intervals", _ESTIMATES, "The mean difference was <m> (95% CI <lo> to <hi>, P = <pp>).", {"pp": thousandths("p")}, {"a": number(0), "b": number(1), "c": number(2)},
+    "intervals", "intervals", _ESTIMATES, "The mean difference was <m> (95% CI <lo> to <hi>, P = <pp>).", {"pp": "thousandths:p"}, {"a": 0, "b": 1, "c": 2},
     """SELECT doc_id, CASE WHEN m < lo - 0.5 OR m > hi + 0.5 THEN 'estimate_outside_interval' ELSE 'interval_p_contradiction' END AS category,
     CASE WHEN m < lo - 0.5 OR m > hi + 0.5 THEN m ELSE lo END::DOUBLE AS a, CASE WHEN m < lo - 0.5 OR m > hi + 0.5 THEN lo ELSE hi END::DOUBLE AS b, CASE WHEN m < lo - 0.5 OR m > hi + 0.5 THEN hi ELSE p / 1000.0::DOUBLE END::DOUBLE AS c FROM base
     WHERE m < lo - 0.5 OR m > hi + 0.5 OR ((lo - 0.5 > 0 OR hi + 0.5 < 0) AND p > 50) OR (lo + 0.5 < 0 AND hi - 0.5 > 0 AND p < 50)""",
 )
 check_query(
     "effect_size", "effect_sizes", "SELECT o_orderkey AS doc_id, o_orderkey % 3 + 1 AS d1, o_orderkey % 60 + 20 AS d2, o_orderkey % 97 + 3 AS f, CAST(floor(100 * ((o_orderkey % 97 + 3) / 10.0 * (o_orderkey % 3 + 1)) / ((o_orderkey % 97 + 3) / 10.0 * (o_orderkey % 3 + 1) + (o_orderkey % 60 + 20)) + 0.5) AS BIGINT) + CASE WHEN o_orderkey % 6 = 0 THEN 9 ELSE 0 END AS e FROM {orders}",
-    "Scores rose, F(<d1>, <d2>) = <ff>, partial eta squared = <ee>.", {"ff": tenths("f"), "ee": hundredths("e")}, {"e": number(0), "f": number(1)},
+    "Scores rose, F(<d1>, <d2>) = <ff>, partial eta squared = <ee>.", {"ff": "tenths:f", "ee": "hundredths:e"}, {"e": 0, "f": 1},
     """, x AS (SELECT *, f / 10.0::DOUBLE AS fv, e / 100.0::DOUBLE AS ev FROM base WHERE e < 100)
     SELECT doc_id, 'effect_size_mismatch' AS category, ev AS e, fv AS f FROM x WHERE ev - 0.005 > (fv + 0.05) * d1 / ((fv + 0.05) * d1 + d2) OR ev + 0.005 < greatest(fv - 0.05, 0) * d1 / (greatest(fv - 0.05, 0) * d1 + d2)""",
 )
@@ -229,7 +239,7 @@ ORACLES["p_clusters"] = "SELECT l_orderkey AS doc_id, 'pvalue_clustering_below_0
 # --- claims and figures ---
 check_query(
     "directional_claim", "directional_claims", "SELECT c_custkey AS doc_id, c_custkey % 41 - 20 - c_custkey % 17 - 1 AS lo, c_custkey % 41 - 20 + c_custkey % 17 + 1 AS hi, c_custkey % 97 * 2 + 1 AS p FROM {customer}",
-    r"\begin{document}The new route outperformed the old one by two points (95\% CI <lo> to <hi>, P = <pp>).\end{document}", {"pp": thousandths("p")}, {"severity": F.col("severity"), "n": F.size("numbers").cast("long")},
+    r"\begin{document}The new route outperformed the old one by two points (95\% CI <lo> to <hi>, P = <pp>).\end{document}", {"pp": "thousandths:p"}, {"severity": "severity", "n": "#numbers"},
     "SELECT doc_id, 'directional_claim_against_interval' AS category, 'major' AS severity, (CASE WHEN lo < 0 AND hi > 0 THEN 2 ELSE 0 END + CASE WHEN p > 50 THEN 1 ELSE 0 END)::BIGINT AS n FROM base WHERE lo < 0 AND hi > 0 OR p > 50",
 )
 _LINES = "SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS n, l_returnflag AS flag, l_partkey AS part FROM {lineitem}"
@@ -252,7 +262,7 @@ ORACLES["uncited_float"] = "SELECT l_orderkey AS doc_id, 'uncited_float' AS cate
 
 check_query(
     "panel_reference", "panel_references", "SELECT o_orderkey AS doc_id, substring('abcdefgh', CAST(o_orderkey % 7 + 2 AS INT), 1) AS last, substring('abcdefgh', CAST(o_custkey % 8 + 1 AS INT), 1) AS ref FROM {orders}",
-    r"See Figure~\ref{fig:one}<ref> for more. \begin{figure}\caption{(a) First. (<last>) Last.}\label{fig:one}\end{figure}", {}, {"target": F.col("target")},
+    r"See Figure~\ref{fig:one}<ref> for more. \begin{figure}\caption{(a) First. (<last>) Last.}\label{fig:one}\end{figure}", {}, {"target": "target"},
     "SELECT doc_id, 'panel_reference_beyond_caption' AS category, 'fig:one:' || ref AS target FROM base WHERE ref > last",
 )
 
