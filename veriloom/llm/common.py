@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import ship
 
 #: Texts are handed to Python code in slices of about this many bytes, so that memory is bounded
 #: by one slice (or one text, where a single text is longer) and not by Arrow's batch of rows.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -77,20 +81,72 @@ def map_texts(df: DataFrame, column: str, function: Callable[[], Callable[[list[
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = function()
-        for batch in batches:
-            for part, texts in slices(batch, column):
-                held = [part.column(part.schema.get_field_index(k)) for k in keep]
-                made = of(texts)
-                yield pa.RecordBatch.from_arrays([*held, *made], names=names)
-
-    from pyspark.sql.types import StructType
+        of = _loaded(function)
+        try:
+            for batch in batches:
+                for part, texts in slices(batch, column):
+                    held = [part.column(part.schema.get_field_index(k)) for k in keep]
+                    yield pa.RecordBatch.from_arrays([*held, *of(texts)], names=names)
+        finally:
+            del of
+            release()
 
     names = StructType.fromDDL(schema).names
     small_batches(df.sparkSession)
     return df.select(*keep, column).mapInArrow(run, schema)
 
 
+def text_column(function: Callable[[], Callable[[list[str]], pa.Array]], text: Column, kind: str) -> Column:
+    """What a function of whole texts gives, as an expression on a text column; `function` is called once in each task."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        of = _loaded(function)
+        try:
+            for column in batches:
+                batch = pa.RecordBatch.from_arrays([column], names=["text"])
+                yield pa.concat_arrays([pa.array([], pa.from_numpy_dtype(_KINDS[kind])), *(of(texts) for _, texts in slices(batch, "text"))])
+        finally:
+            del of
+            release()
+
+    # Hints tell Spark that the function maps an iterator of Arrow arrays; they must be the types themselves.
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    # Called non-deterministic, or the optimiser would copy it into filters that it infers and run it twice.
+    return F.arrow_udf(run, kind).asNondeterministic()(text.cast("string"))
+
+
+_KINDS = {"double": "float64", "bigint": "int64"}
+
+
+_slot: dict[str, object] = {}
+_asked: set[str] = set()
+
+
+def keep(key: str, make: Callable[[], object]) -> object:
+    """An object that a Python worker holds from task to task; one at a time, so that workers that wait hold no more."""
+    _asked.add(key)
+    if key not in _slot:
+        _slot.clear()
+        _slot[key] = make()
+    return _slot[key]
+
+
+def _loaded(function: Callable[[], object]) -> object:
+    """What `function` gives, after dropping what an earlier operator kept in this worker and this one does not ask for."""
+    _asked.clear()
+    of = function()
+    if not _asked:
+        _slot.clear()
+    return of
+
+
+def release() -> None:
+    """Give memory that is free in this worker back to the system; workers wait for their next task with what they hold."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def free_name(df: DataFrame, *wanted: str) -> list[str]:
     """Names for helper columns that clash with none of the frame's, whatever the case of letters."""
     taken = {c.lower() for c in df.columns}

@@ -14,7 +14,6 @@ Each piece then finds its place from its rank among pieces of its length.
 
 from __future__ import annotations
 
-import functools
 import re
 import zlib
 from collections.abc import Mapping
@@ -24,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialize
+from .common import keep, map_texts, materialize
 
-#: Words remembered in a worker with their ids; beyond that only those of the texts at hand stay.  Longer words are not remembered.
-MEMO = 450_000
+#: Words that a worker adds to its memo before the memo grows old; the old one is kept as long again.  Longer words are not remembered.
+MEMO = 200_000
 MEMO_CHARS = 48
 #: The pre-tokenizer's white space, and the characters that Python splits at but it does not.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -37,19 +36,19 @@ GROUPS = 256
 GROUP_ROWS = 2_000
 
 
-#: A word of Latin-1 letters with punctuation after it.  The normaliser only lowers these letters, the
-#: pre-tokenizer cuts between letters and punctuation, and so the word's ids are those of its two parts.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)").fullmatch
+#: A word of Latin-1 letters with symbols after it.  The normaliser only lowers these letters, the
+#: pre-tokenizer cuts between letters and a run of symbols, and so the word's ids are those of its two parts.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\\[-`{-~]{0,3})").fullmatch
 #: How the byte-level pre-tokenizer writes the UTF-8 bytes of lower-case Latin-1 letters: each as the character of that number, but for those that are no printable characters of Latin-1.
 _BYTES = {b: chr(256 + 33 + b - 127) if 127 <= b <= 160 else chr(256 + 67) if b == 173 else chr(b) for b in range(33, 256)}
 
 
-class WordIds:
-    """Ids of whole texts as the tokenizer gives them, as little-endian bytes.
+class WordIds(dict):
+    """Ids of words as the tokenizer gives them, as little-endian bytes; of(text) gives those of a whole text.
 
     The tokenizer drops white space before it merges, and its normaliser changes nothing across white
-    space, so a text's ids are those of its words one after another; each distinct word is encoded once
-    a batch and remembered.  Plain words go to the tokenizer's merges directly, others through the whole of it.
+    space, so a text's ids are those of its words one after another.  A word is encoded when it is first
+    met and remembered: plain words go to the tokenizer's merges directly, others through the whole of it.
     """
 
     def __init__(self, path: str, end_id: int = 0):
@@ -61,44 +60,52 @@ class WordIds:
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
+        self.merge = self.model.model.tokenize
+        self.packed = [i.to_bytes(4, "little") for i in range(self.model.get_vocab_size())]
         self.end = int(end_id).to_bytes(4, "little")
-        self.memo: dict[str, bytes] = {}
-        marks = [a + b + c for a in ["", *".,;:!?"] for b in ["", *".,;:!?"] for c in ["", *".,;:!?"]]
-        self.marks = {m: np.array(self.model.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in marks}
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        words = [t.split() if not any(c in t for c in _ODD) else [w for w in _SPACE.split(t) if w] for t in texts]
-        need = set().union(*words).difference(self.memo) if words else set()
-        if len(need) + len(self.memo) > MEMO:
-            # Words in use stay: the frequent ones are among them.
-            self.memo = {w: self.memo[w] for w in set().union(*words).difference(need)}
-        memo, odd, merge = self.memo, [], self.model.model.tokenize
-        for w in need:
-            m = _PLAIN(w)
-            if m is None or m[2] and m[2] not in self.marks:
-                odd.append(w)
-                continue
-            core = m[1].lower()
-            ids = memo.get(core)
-            if ids is None:
-                ids = memo[core] = np.array([t.id for t in merge(core if core.isascii() else "".join(map(_BYTES.__getitem__, core.encode())))], "<u4").tobytes()
-            memo[w] = ids + self.marks[m[2]]
-        for at in range(0, len(odd), 50_000):
-            part = odd[at : at + 50_000]
-            for w, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                memo[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.memo.__getitem__
-        out = [b"".join(map(get, ws)) + self.end for ws in words]
-        for w in need:
-            if len(w) > MEMO_CHARS:
-                del self.memo[w]
-        return out
-
-
-@functools.lru_cache(maxsize=2)
+        self.marks = {"": b""}
+        self.old: dict[str, bytes] = {}
+
+    def _whole(self, word: str) -> bytes:
+        return b"".join([self.packed[i] for i in self.model.encode(word, add_special_tokens=False).ids])
+
+    def _core(self, core: str) -> bytes:
+        ids = self.get(core) or self.old.get(core)
+        if ids is None:
+            spelt = core if core.isascii() else "".join(map(_BYTES.__getitem__, core.encode()))
+            ids = b"".join([self.packed[t.id] for t in self.merge(spelt)])
+            if len(core) <= MEMO_CHARS:
+                self[core] = ids
+        return ids
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            m = _PLAIN(word)
+            if m is None:
+                ids = self._whole(word)
+            else:
+                mark = self.marks.get(m[2])
+                if mark is None:
+                    mark = self.marks[m[2]] = self._whole(m[2])
+                ids = self._core(m[1].lower()) + mark
+            if len(word) > MEMO_CHARS:
+                return ids
+        self[word] = ids
+        return ids
+
+    def of(self, text: str) -> bytes:
+        """The text's ids and the end id."""
+        if len(self) > MEMO:
+            self.old = dict(self)
+            self.clear()
+        words = text.split() if not any(c in text for c in _ODD) else [w for w in _SPACE.split(text) if w]
+        return b"".join(map(self.__getitem__, words)) + self.end
+
+
 def word_ids(path: str, end_id: int) -> WordIds:
     """Kept in a Python worker from task to task."""
-    return WordIds(path, end_id)
+    return keep(f"words {path} {end_id}", lambda: WordIds(path, end_id))
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -110,7 +117,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, end_id: in
         ids, seen = word_ids(tokenizer_path, end_id), [0]
 
         def cut(texts: list[str]) -> list[pa.Array]:
-            cuts = [[(i, len(p) // 4, zlib.crc32(p)) for i, p in enumerate(d[a : a + 4 * seq_len] for a in range(0, len(d), 4 * seq_len))] for d in ids.of(texts)]
+            cuts = [[(i, len(p) // 4, zlib.crc32(p)) for i, p in enumerate(d[a : a + 4 * seq_len] for a in range(0, len(d), 4 * seq_len))] for d in map(ids.of, texts)]
             seen[0] += len(texts)
             return [pa.array([[{"piece": i, "length": n, "ids_crc32": c} for i, n, c in ps] for ps in cuts], _CUTS), pa.array(range(seen[0] - len(texts), seen[0]), pa.int64())]
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, map_texts, materialize, small_batches
+from .common import free_name, map_texts, materialize, small_batches, text_column
 from .components import components
 
 BITS = 2
@@ -60,15 +60,16 @@ def fingerprint(text: str) -> int:
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+def _load():
+    return lambda texts: pa.array(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64), pa.int64())
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): the fingerprint of each row's whole text as a signed long; null texts count as empty."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
-    def load():
-        return lambda texts: [pa.array(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64), pa.int64())]
-
     kind = source.schema["doc_id"].dataType.simpleString()
-    return map_texts(source, "text", load, f"doc_id {kind}, fp bigint", ["doc_id"])
+    return map_texts(source, "text", lambda: lambda texts: [_load()(texts)], f"doc_id {kind}, fp bigint", ["doc_id"])
 
 
 def _block(fp: Column, k: int) -> Column:
@@ -152,6 +153,5 @@ def keep_one(docs: DataFrame, bucket_rows: int = 256, id_col: str = "doc_id", te
         .groupBy("root").agg(F.min("first").alias("first"))
         .select(F.col("first.no_id").alias(no_id), F.coalesce(F.col("first.doc_id").cast("string"), F.lit("")).alias(key), F.col("first.fp").alias(fp))
     )
-    of = F.pandas_udf(lambda texts: texts.map(lambda t: fingerprint(t or "")).astype("uint64").astype("int64"), "bigint")
-    marked = docs.withColumns({no_id: F.col(id_col).isNull(), key: F.coalesce(F.col(id_col).cast("string"), F.lit("")), fp: of(F.col(text_col).cast("string"))})
+    marked = docs.withColumns({no_id: F.col(id_col).isNull(), key: F.coalesce(F.col(id_col).cast("string"), F.lit("")), fp: text_column(_load, F.col(text_col), "bigint")})
     return marked.join(first, [no_id, key, fp], "left_semi").dropDuplicates([no_id, key, fp]).select(*names)

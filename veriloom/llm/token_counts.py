@@ -10,14 +10,13 @@ rest are merged by the library, each distinct one once a batch, with a bounded m
 
 from __future__ import annotations
 
-import functools
 import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import keep, map_texts
 
 #: Counts remembered in a worker, and the longest pre-token that is remembered; beyond the first all go.
 MEMO = 400_000
@@ -87,10 +86,9 @@ class PieceCounter:
         return out
 
 
-@functools.lru_cache(maxsize=2)
 def piece_counter(model_path: str) -> PieceCounter:
     """Kept in a Python worker from task to task."""
-    return PieceCounter(model_path)
+    return keep(f"pieces {model_path}", lambda: PieceCounter(model_path))
 
 
 def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
