@@ -13,14 +13,13 @@ each language on rows kept out of the fit; the language is guessed from a text's
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, slices, small_batches
+from .common import map_texts, small_batches, text_column
 from .labelled import fold, sample
 
 #: Hash buckets of the embedding table, its width, filters of each width, and the widths.
@@ -34,7 +33,7 @@ PER_CLASS = 3_000
 MOST_CHARS = 60_000
 #: Words of a window, and words remembered in a worker.
 WINDOW = 100_000
-MEMO = 200_000
+MEMO = 150_000
 #: Function words by which a text's language is guessed; any other text is of language 0.
 FUNCTION_WORDS = (
     "the of and to in is was that with for are this from have which",
@@ -100,15 +99,25 @@ class Network:
         self.shift = np.zeros(LANGUAGES)
         self.slope = 1.0
 
-    def pool(self, embedded: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Filter values at each place, and their maxima over the documents that begin at `starts`.  Documents end with padding."""
+    def pool(self, embedded: np.ndarray, starts: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Filter values at each place, and their maxima over the first `own` places of the documents that begin at `starts`.
+
+        Documents end with padding, over which filters reach but where none begins; a document without
+        places has the value of padding, which is 0.
+        """
         values = []
+        at = np.arange(len(embedded))
+        last = np.repeat(starts + own, np.diff(np.append(starts, len(embedded))))
+        beyond = at >= last
         for f in self.filters:
             v = embedded @ f[0]
             for k in range(1, len(f)):
                 v[:-k] += embedded[k:] @ f[k]
+            v[beyond] = -np.inf
             values.append(v)
-        return np.concatenate([np.maximum.reduceat(v, starts, axis=0) for v in values], axis=1), values
+        maxima = np.concatenate([np.maximum.reduceat(v, starts, axis=0) for v in values], axis=1)
+        maxima[own == 0] = 0
+        return maxima, values
 
     def logits(self, docs: list[np.ndarray], features_: np.ndarray) -> np.ndarray:
         """The output for whole documents, given as rows of `features_`."""
@@ -116,24 +125,26 @@ class Network:
         pad = np.zeros(max(WIDTHS) - 1, np.int32)
         parts: list[np.ndarray] = []
         owners: list[int] = []
+        own: list[int] = []
         size = 0
 
         def flush() -> None:
-            nonlocal parts, owners, size
+            nonlocal parts, owners, own, size
             if parts:
                 lengths = np.array([len(p) for p in parts])
                 flat = np.concatenate(parts)
                 used, back = np.unique(flat, return_inverse=True)
                 embedded = self.table[features_[used]].mean(axis=1)
                 embedded[used == 0] = 0
-                maxima, _ = self.pool(embedded[back], np.cumsum(lengths) - lengths)
+                maxima, _ = self.pool(embedded[back], np.cumsum(lengths) - lengths, np.array(own))
                 np.maximum.at(best, np.array(owners), maxima)
-            parts, owners, size = [], [], 0
+            parts, owners, own, size = [], [], [], 0
 
         for i, d in enumerate(docs):
             for at in range(0, max(len(d), 1), WINDOW):
                 parts.append(np.concatenate([d[at : at + WINDOW + len(pad)], pad]))
                 owners.append(i)
+                own.append(min(WINDOW, len(d) - at))
                 size += len(parts[-1])
                 if size >= WINDOW:
                     flush()
@@ -161,7 +172,7 @@ class Network:
                 word = self.table[features_[used]].mean(axis=1)
                 word[used == 0] = 0
                 embedded = word[back]
-                maxima, values = self.pool(embedded, starts)
+                maxima, values = self.pool(embedded, starts, lengths - len(pad))
                 hidden = np.maximum(maxima + self.bias, 0)
                 p = 1 / (1 + np.exp(-(hidden @ self.out + self.out_bias)))
                 g = ((p - y[mine]) * weight[mine] / len(mine)).astype(np.float32)
@@ -172,7 +183,7 @@ class Network:
                     cols = slice(n * FILTERS, (n + 1) * FILTERS)
                     for d, (s, e) in enumerate(zip(starts, starts + lengths, strict=True)):
                         gd = g_hidden[d, cols]
-                        if not gd.any():
+                        if not gd.any() or e - s <= len(pad):
                             continue
                         top = s + values[n][s:e].argmax(axis=0)
                         for k in range(len(f)):
@@ -282,18 +293,13 @@ def model(docs: DataFrame, labels: DataFrame, per_class: int, most_chars: int, i
 
 
 def score_column(load, text: Column) -> Column:
-    """Scores of a text column as an expression; texts are handled in slices."""
+    """Scores of a text column as an expression."""
 
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def arrays():
         of = load()
-        for column in batches:
-            batch = pa.RecordBatch.from_arrays([column], names=["text"])
-            parts = [np.asarray(of(texts), np.float64) for _, texts in slices(batch, "text")]
-            yield pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
-
-    # Hints tell Spark that the function maps an iterator of Arrow arrays; they must be the types themselves.
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "double")(text.cast("string"))
+        return lambda texts: pa.array(np.asarray(of(texts), np.float64), pa.float64())
+
+    return text_column(arrays, text, "double")
 
 
 def scored(docs: DataFrame, load, threshold: float, id_col: str, text_col: str) -> DataFrame:
