@@ -253,3 +253,45 @@ def test_registry_against_sql(spark):
 def test_works_without_corpus_operators():
     code = "import sys; sys.modules['veriloom.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') for n in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def test_reference_items(spark):
+    from veriloom.operators import references as R
+
+    text = "We begin. Dunes grow [1, 3-4]. Then [2] says more.\n\nLast [1].\nReferences\n" + "".join(f"[{i}] Writer {i}. A title of work number {i} here. Journal. 2001.\n" for i in range(1, 6))
+    docs = spark.createDataFrame([(1, text, "")], "doc_id long, text string, bib string")
+    refs = R.entries(docs)
+    cited = {r.n: r.cited_in for r in R.citing_sentences(docs, refs).collect()}
+    assert cited[0][:2] == ["Dunes grow [1, 3-4].", "Last [1]."] or cited[0][0] == "Dunes grow [1, 3-4]."
+    assert cited[3][0] == "Dunes grow [1, 3-4]." and cited[1][0].startswith("Then [2] says more.")
+    tex = spark.createDataFrame([(2, "Sand moves \\citep{ka, kb} far. \\begin{document}", "@article{ka, title={T}}\n@article{kb, title={U}}")], docs.schema)
+    keyed = R.citing_sentences(tex, R.entries(tex)).collect()
+    assert len(keyed) == 2 and all(r.cited_in == ["Sand moves \\citep{ka, kb} far."] for r in keyed)
+    lookups = spark.createDataFrame([("u", json.dumps({"results": [{"doi": "https://doi.org/10.1/X", "abstract_inverted_index": {"Sand": [0, 2], "and": [1]}}]}))], "url string, body string")
+    assert R.abstracts(lookups).first().abstract == "Sand and Sand"
+    items = R.reference_items(docs, R.verdicts(refs, lookups), lookups)
+    assert items.count() == 5 and {r.status for r in items.collect()} == {"unverifiable"}
+
+
+def test_server():
+    from veriloom import serve
+
+    said = []
+    serve.serve(['{"jsonrpc": "2.0", "id": 1, "method": "initialize", "params": {"protocolVersion": "x"}}\n', "\n", '{"jsonrpc": "2.0", "method": "notifications/initialized"}\n', '{"jsonrpc": "2.0", "id": 2, "method": "tools/list"}', '{"jsonrpc": "2.0", "id": 3, "method": "nothing"}', "{", '{"jsonrpc": "2.0", "id": 4, "method": "ping"}', '{"jsonrpc": "2.0", "id": 5, "method": "tools/call", "params": {"name": "check_folder", "arguments": {}}}'], said.append)
+    replies = [json.loads(x) for x in said]
+    assert replies[0]["result"]["serverInfo"]["name"] == "veriloom" and {t["name"] for t in replies[1]["result"]["tools"]} == {"check_folder", "render_report"}
+    assert replies[2]["error"]["code"] == -32601 and replies[3]["error"]["code"] == -32700 and replies[4]["result"] == {} and replies[5]["result"]["isError"]
+    assert len(replies) == 6
+
+
+def test_command_line(spark, folder, tmp_path):
+    from veriloom import __main__ as command
+    from veriloom.plans import report
+
+    out = str(tmp_path / "out")
+    assert command.main([folder, "--out", out]) == 3  # one file cannot be read
+    assert command.main(["render", out]) == 0
+    pages = spark.read.parquet(out + "/reports").collect()
+    assert len(pages) == 6 and all(p.html.startswith("<!doctype html>") for p in pages)
+    one = spark.read.parquet(out + "/results").where(F.col("result").contains("plain.txt")).first().result
+    assert "product" in report.as_text(one).lower() or "S1" in report.as_text(one)

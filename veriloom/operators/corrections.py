@@ -46,3 +46,9 @@ def caught(corrections: DataFrame, findings: DataFrame) -> DataFrame:
 
 def by_check(findings: DataFrame) -> DataFrame:
     return findings.groupBy("check").agg(F.count(F.lit(1)).alias("n"))
+
+
+def corpus_summary(findings: DataFrame) -> DataFrame:
+    """One row: documents with findings, findings of weight major, and counts by check."""
+    counts = by_check(findings).agg(F.map_from_entries(F.collect_list(F.struct("check", "n"))).alias("by_check"))
+    return findings.agg(F.countDistinct("doc_id").alias("documents_with_findings"), F.count_if(F.col("severity") == "major").alias("majors")).join(F.broadcast(counts))

@@ -9,6 +9,8 @@ from __future__ import annotations
 import io
 import posixpath
 import re
+import shutil
+import subprocess
 import zipfile
 from xml.etree import ElementTree
 
@@ -86,7 +88,10 @@ def docx(data: bytes) -> str:
 
 
 def pdf(data: bytes) -> str | None:
-    """Text of a PDF by the optional library; none without it."""
+    """Text of a PDF by the optional program or library; none without either."""
+    if shutil.which("pdftotext"):
+        done = subprocess.run(["pdftotext", "-layout", "-", "-"], input=data, capture_output=True)
+        return done.stdout.decode("utf-8", "replace") if done.returncode == 0 else None
     try:
         from pypdf import PdfReader
     except ImportError:
