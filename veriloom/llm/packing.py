@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import keep, map_texts, materialize
 
 #: Words that a worker adds to its memo before the memo grows old; the old one is kept as long again.  Longer words are not remembered.
-MEMO = 200_000
+MEMO = 300_000
 MEMO_CHARS = 48
 #: The pre-tokenizer's white space, and the characters that Python splits at but it does not.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
