@@ -126,3 +126,13 @@ def window_text(text: Column, start: Column, end: Column) -> Column:
     """text[start:end] for places from 0, cut at the text's begin."""
     a = F.greatest(start, F.lit(0))
     return F.substring(text, a + 1, F.greatest(end - a, F.lit(0)))
+
+
+def settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """`df` with columns whose values are computed once.
+
+    A projection that is used several times may be merged into its uses and computed for each; what a
+    generator makes is not.
+    """
+    names = [x for n, c in columns.items() for x in (F.lit(n), c)]
+    return df.select(*df.columns, F.explode(F.array(F.named_struct(*names))).alias("__settled")).select(*df.columns, "__settled.*")

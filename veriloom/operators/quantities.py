@@ -211,18 +211,19 @@ def cross_sections(docs: DataFrame) -> DataFrame:
 def relative_changes(docs: DataFrame) -> DataFrame:
     """One percentage that is a change beside one pair of numbers: some usual reading must give it."""
     s = F.col("s")
-    rows = T.sentences(docs, T.change_prose(F.col("text")), P.SPLIT_PROSE).select("doc_id", "pos", "s", T.found(s, P.PERCENT, ("v",), r"(\d+(?:\.\d+)?)\s*%").alias("ps"), T.found(s, P.CHANGE_PAIR).alias("pairs"))
-    rows = rows.where((F.size("pairs") == 1) & (F.size("ps") > 0))
+    rows = T.sentences(docs, T.change_prose(F.col("text")), P.SPLIT_PROSE).where(s.contains("%") & s.rlike(P.CHANGE_PAIR))
+    rows = T.settled(rows, ps=T.found(s, P.PERCENT, ("v",), r"(\d+(?:\.\d+)?)\s*%"), pairs=T.found(s, P.CHANGE_PAIR)).where((F.size("pairs") == 1) & (F.size("ps") > 0))
     after = lambda m: F.substring(s, m["end"] + 1, F.length(s))
     is_change = lambda m: (after(m).rlike(P.CHANGE_AFTER) | T.window_text(s, m["start"] - P.CHANGE_LOOK_BACK, m["start"]).rlike(P.CHANGE_BEFORE)) & ~after(m).rlike(P.CHANGE_SHARE)
-    rows = rows.withColumn("ps", F.filter("ps", is_change)).where(F.size("ps") == 1).select("doc_id", "pos", "s", F.get("ps", F.lit(0)).alias("p"), F.get("pairs", F.lit(0)).alias("pair"))
+    rows = T.settled(rows.select("doc_id", "pos", "s", "ps", F.get("pairs", F.lit(0)).alias("pair")), changes=F.filter("ps", is_change)).where(F.size("changes") == 1)
+    rows = rows.select("doc_id", "pos", "s", F.get("changes", F.lit(0)).alias("p"), "pair")
     gap = F.greatest(F.col("p.start") - F.col("pair.end"), F.col("pair.start") - F.col("p.end"))
     low, high = F.least("p.end", "pair.end"), F.greatest("p.start", "pair.start")
     rows = rows.where((gap <= P.CHANGE_GAP) & ~F.coalesce(F.substring(s, low + 1, F.greatest(high - low, F.lit(0))), F.lit("")).rlike(P.CLAUSE_BREAK))
     # The pair's two numbers are the first group of its form that is filled, and the next.
-    groups = F.filter(F.array(*(F.regexp_extract("pair.raw", P.CHANGE_PAIR, i) for i in range(1, 9))), lambda g: g != "")
-    zh = F.regexp_extract("pair.raw", P.CHANGE_PAIR, 5) != ""
-    rows = rows.select("doc_id", "pos", "s", F.col("p.v").alias("c"), F.replace(F.get(groups, F.lit(0)), F.lit(","), F.lit("")).alias("a"), F.replace(F.get(groups, F.lit(1)), F.lit(","), F.lit("")).alias("b"), zh.alias("zh"))
+    rows = T.settled(rows, groups=F.filter(F.array(*(F.regexp_extract("pair.raw", P.CHANGE_PAIR, i) for i in range(1, 9))), lambda g: g != ""), zh=F.regexp_extract("pair.raw", P.CHANGE_PAIR, 5) != "")
+    bare = lambda i: F.replace(F.get("groups", F.lit(i)), F.lit(","), F.lit(""))
+    rows = rows.select("doc_id", "pos", "s", F.col("p.v").alias("c"), bare(0).alias("a"), bare(1).alias("b"), "zh")
     a, b, c = F.nullif(num(F.col("a")), F.lit(0.0)), F.nullif(num(F.col("b")), F.lit(0.0)), num(F.col("c"))
     rows = rows.where((a != b) & (c != a) & (c != b))
     slack = half_unit(F.col("c")) + c * (half_unit(F.col("a")) / a + half_unit(F.col("b")) / b) + EPS
