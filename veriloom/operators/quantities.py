@@ -160,12 +160,13 @@ def split_shares(docs: DataFrame) -> DataFrame:
 
     Each percentage goes to the nearest partition word within 20 characters, and a word keeps its first.
     """
-    body = docs.select("doc_id", T.body_text(F.col("text")).alias("body"))
+    body = docs.select("doc_id", T.body_text(F.col("text")).alias("body")).where(F.col("body").rlike(P.ESCAPED_PERCENT))
     spots = body.select("doc_id", "body", F.posexplode(T.found(F.col("body"), P.PARTITION)).alias("i", "m"))
     wins = spots.select("doc_id", "i", T.window_text(F.col("body"), F.col("m.start") - 40, F.col("m.start") + 130).alias("w")).where(~F.col("w").rlike(P.PARTITION_SKIP))
     words = F.transform(T.found(F.col("w"), P.PARTITION_WORD), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.substring(F.lower(m["raw"]), 1, 3).alias("word")))
     shares = T.found(F.col("w"), P.ESCAPED_PERCENT, ("value",))
-    rows = wins.select("doc_id", "i", "w", words.alias("words"), F.posexplode(shares).alias("j", "p"))
+    wins = T.settled(wins.where(F.col("w").rlike(P.ESCAPED_PERCENT)), words=words, shares=shares)
+    rows = wins.select("doc_id", "i", "w", "words", F.posexplode("shares").alias("j", "p"))
     gap = lambda w: F.greatest(w["start"] - F.col("p.end"), F.col("p.start") - w["end"], F.lit(0))
     near = rows.withColumn("best", F.array_min(F.transform("words", lambda w: F.struct(gap(w).alias("gap"), w["word"].alias("word"))))).where(F.col("best.gap") <= 20)
     own = near.groupBy("doc_id", "i", F.col("best.word").alias("word")).agg(F.min_by("p.value", "j").alias("v"), F.min("j").alias("j"), F.first("w").alias("w"))
@@ -182,11 +183,14 @@ def split_shares(docs: DataFrame) -> DataFrame:
 
 
 def _metric(metric: str) -> str:
-    """metric = value, with no qualifying word wholly within reach on either side."""
-    before = "".join(rf"(?<!{w}[\s\S]{{0,{P.METRIC_REACH - len(w)}}})" for w in P.METRIC_QUALIFIERS)
+    """metric = value, with no qualifying word wholly within reach on either side.
+
+    The name comes first, so that the looks behind are taken at names alone.
+    """
+    before = "".join(rf"(?<!(?i:{w})[\s\S]{{0,{P.METRIC_REACH - len(w)}}}{metric})" for w in P.METRIC_QUALIFIERS)
     after = "".join(rf"(?![\s\S]{{0,{P.METRIC_REACH - len(w)}}}{w})" for w in P.METRIC_QUALIFIERS)
     # The name is matched as written; the qualifiers around it in any case.
-    return rf"{P.U}(?i:{before})({metric})\s*[=:]\s*(\d+(?:\.\d+)?)(?![\d.]*\d)(?i:{after})"
+    return rf"{P.U}({metric}){before}\s*[=:]\s*(\d+(?:\.\d+)?)(?![\d.]*\d)(?i:{after})"
 
 
 @check("consistency", 3)
@@ -198,7 +202,8 @@ def cross_sections(docs: DataFrame) -> DataFrame:
         return F.transform(F.regexp_extract_all("body", F.lit(_metric(m)), F.lit(2)), lambda v: F.struct(F.lit(m).alias("metric"), v.alias("v")))
 
     each = F.concat(*map(values, P.METRICS))
-    rows = body.select("doc_id", F.explode(each).alias("x")).select("doc_id", "x.*").where(~num(F.col("v")).isin(0.0, 100.0))
+    named = body.where(F.col("body").rlike("|".join(P.METRICS)))
+    rows = named.select("doc_id", F.explode(each).alias("x")).select("doc_id", "x.*").where(~num(F.col("v")).isin(0.0, 100.0))
     by = rows.groupBy("doc_id", "metric").agg(F.array_sort(F.collect_set("v")).alias("vs")).where(F.size("vs") >= 3)
     rank = F.array_position(F.array(*map(F.lit, P.METRICS)), F.col("metric"))
     return findings(
