@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROLES = ("system", "user", "assistant")
-#: Turns of a conversation that are decoded together, and lines after which a longer run is cut.
+#: Turns of a conversation that are decoded together, and lines after which a longer run is cut; what is known goes on to the next.
 SPAN = 64
 MOST_LINES = 8_192
 
@@ -74,19 +74,36 @@ _FEATURES = np.array([
 _RULES = re.compile(r"^\s*(?:you are|you're|act as|always|never|respond|be )\b", re.I)
 
 
-def observe(lines: list[str], starts: list[bool]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+class Known:
+    """What a transcript's earlier lines have shown: speakers in their order, how often words stand before a colon, the last state."""
+
+    MOST = 4_096
+
+    def __init__(self) -> None:
+        self.names: dict[str, int] = {}
+        self.counts: dict[str, int] = {}
+        self.opened: bool | None = None
+        self.state: int | None = None
+        self.blank = False
+
+
+def observe(lines: list[str], starts: list[bool], known: Known | None = None) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Marker class and features of each line, and the lines without their markers.  `starts`: a boundary between messages is known to lie before the line."""
     marks, features, bare = np.zeros(len(lines), int), np.zeros((len(lines), 4)), []
-    names: dict[str, int] = {}
-    counts: dict[str, int] = {}
+    known = known or Known()
+    names, counts = known.names, known.counts
     for line in lines:
         if not _MARK.match(line) and (m := _NAME.match(line)):
             counts[m["name"]] = counts.get(m["name"], 0) + 1
-    # A word before a colon is a speaker only if few words are, and it comes back or the transcript opens with a marker.
-    opening = next((line for line in lines if line.strip()), "")
-    opened = bool(_MARK.match(opening) or _NAME.match(opening))
-    speakers = {n for n, c in counts.items() if c >= 2 or opened and len(counts) <= 4} if len(counts) <= 6 else set()
-    blank = False
+    # A word before a colon is a speaker only if it comes back, or the transcript opens with a marker and holds few such words.
+    if known.opened is None:
+        opening = next((line for line in lines if line.strip()), "")
+        known.opened = bool(_MARK.match(opening) or _NAME.match(opening))
+    speakers = {n for n, c in counts.items() if c >= 2 or known.opened and len(counts) <= 4} if len(counts) <= 6 else set()
+    speakers |= names.keys()
+    if len(counts) > Known.MOST:  # the rarest are forgotten
+        known.counts = dict(sorted(counts.items(), key=lambda x: -x[1])[: Known.MOST // 2])
+    blank = known.blank
     for i, line in enumerate(lines):
         text = line
         if m := _MARK.match(line):
@@ -98,17 +115,19 @@ def observe(lines: list[str], starts: list[bool]) -> tuple[np.ndarray, np.ndarra
         features[i] = (blank or starts[i], text.rstrip().endswith("?"), bool(_RULES.match(text)), len(text) > 400)
         blank = not line.strip()
         bare.append(_END.sub("", text))
+    known.blank = blank
     return marks, features, bare
 
 
-def viterbi(marks: np.ndarray, features: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The likeliest states.  Ties go to the lower state.  A known boundary rules out going on with a turn."""
+def viterbi(marks: np.ndarray, features: np.ndarray, starts: np.ndarray, before: int | None = None) -> np.ndarray:
+    """The likeliest states.  Ties go to the lower state.  A known boundary rules out going on with a turn.  `before`: the state of the line before the first."""
     n = len(marks)
     emit = _MARKS[:, marks].T + features @ _FEATURES
     emit[np.ix_(starts, [1, 3, 5])] = -np.inf
-    emit[0, [1, 3, 5]] = -np.inf
+    if before is None:
+        emit[0, [1, 3, 5]] = -np.inf
     back = np.zeros((n, 6), np.int8)
-    score = _START + emit[0]
+    score = (_START if before is None else _MOVE[before]) + emit[0]
     for i in range(1, n):
         paths = score[:, None] + _MOVE
         back[i] = paths.argmax(axis=0)
@@ -120,13 +139,16 @@ def viterbi(marks: np.ndarray, features: np.ndarray, starts: np.ndarray) -> np.n
     return out
 
 
-def parse(lines: list[str], starts: list[bool] | None = None) -> list[tuple[str, str]]:
-    """(role, text) for each turn of a transcript's lines.  Blank lines alone make no turn."""
+def parse(lines: list[str], starts: list[bool] | None = None, known: Known | None = None) -> list[tuple[str, str]]:
+    """(role, text) for each turn of a transcript's lines.  Blank lines alone make no turn.  `known` is what earlier lines have shown, and is brought up to date."""
     starts = list(starts) if starts else [False] * len(lines)
+    known = known or Known()
     if not any(line.strip() for line in lines):
+        known.blank = known.blank or bool(lines)
         return []
-    marks, features, bare = observe(lines, starts)
-    states = viterbi(marks, features, np.array(starts, bool))
+    marks, features, bare = observe(lines, starts, known)
+    states = viterbi(marks, features, np.array(starts, bool), known.state)
+    known.state = int(states[-1])
     turns: list[tuple[int, list[str]]] = []
     for s, text in zip(states.tolist(), bare, strict=True):
         if s % 2 == 0 or not turns:
@@ -164,8 +186,8 @@ def format_transcripts(messages: DataFrame, id_col: str = "conv_id", turn_col: s
 
     A transcript is the texts of an id's rows in the order of `turn_col`, rows split into lines; `chat` is the
     canonical form of the turn.  Transcripts are decoded in spans of SPAN turn numbers (span), and a span of
-    more than MOST_LINES lines in parts, so that memory stays bounded whatever repeats; at such
-    cuts a turn may be divided.  With `known_starts` a row never goes on with the turn before it.
+    more than MOST_LINES lines in parts, so that memory stays bounded whatever repeats; names, their
+    order and the last state go on from each to the next, and a turn that lies across such a cut gives a row on either side.  With `known_starts` a row never goes on with the turn before it.
     Null texts count as empty lines; a transcript of blank lines has no turns; null turn numbers come first;
     a null id is an id of its own; repeated rows are kept one after another.  Other columns are not read.
     """
@@ -173,7 +195,8 @@ def format_transcripts(messages: DataFrame, id_col: str = "conv_id", turn_col: s
     kind = source.schema["conv_id"].dataType.simpleString()
     spans = source.withColumn("span", F.floor(F.coalesce("turn", F.lit(0)) / SPAN).cast("long"))
     n = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = spans.repartition(n, "conv_id", "span").sortWithinPartitions("conv_id", "span", "turn", "text").select("conv_id", "span", "text", F.lit(known_starts).alias("starts"))
+    # A conversation is one stream, as its later spans need what its earlier ones have shown.
+    dealt = spans.repartition(n, "conv_id").sortWithinPartitions("conv_id", "span", "turn", "text").select("conv_id", "span", "text", F.lit(known_starts).alias("starts"))
     names = ["conv_id", "span", "part", "turn_no", "role", "text", "chat"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,8 +215,11 @@ def format_transcripts(messages: DataFrame, id_col: str = "conv_id", turn_col: s
                 yield b
 
         size = 0
+        last, known = None, None
         for conv, span, part, lines, starts in _runs(seen(batches)):
-            for k, (role, text) in enumerate(parse(lines, starts)):
+            if known is None or conv != last:
+                last, known = conv, Known()
+            for k, (role, text) in enumerate(parse(lines, starts, known)):
                 rows.append((conv, span, part, k, role, text, render([(role, text)])))
                 size += len(text)
             if len(rows) >= 5_000 or size > 4_000_000:
