@@ -19,3 +19,15 @@ def test_roles_go_on_after_many_lines():
     for part in (lines[:7], lines[7:16], lines[16:]):
         out += parse(part, None, known)
     assert [r for r, _ in out] == ["user", "assistant"] * 15 + ["user"]
+
+
+def test_names_among_many_other_words():
+    from veriloom.llm.chat import parse
+
+    others = ["Note", "Example", "Step", "Result", "Hint", "Input file", "Warning"]
+    lines, want = [], []
+    for k in range(14):
+        body = [f"words {k}", f"{others[k // 2]}: more"] if k % 2 else [f"asks {k}"]
+        lines += [f"{'Robin' if k % 2 else 'Maya'}: {body[0]}", *body[1:]]
+        want.append(("assistant" if k % 2 else "user", "\n".join(body)))
+    assert parse(lines) == want

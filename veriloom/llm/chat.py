@@ -99,7 +99,11 @@ def observe(lines: list[str], starts: list[bool], known: Known | None = None) ->
     if known.opened is None:
         opening = next((line for line in lines if line.strip()), "")
         known.opened = bool(_MARK.match(opening) or _NAME.match(opening))
-    speakers = {n for n, c in counts.items() if c >= 2 or known.opened and len(counts) <= 4} if len(counts) <= 6 else set()
+    if len(counts) <= 6:
+        speakers = {n for n, c in counts.items() if c >= 2 or known.opened and len(counts) <= 4}
+    else:  # among many words, those that come back about as often as the second most frequent
+        often = sorted(counts.values(), reverse=True)[1]
+        speakers = {n for n, c in counts.items() if c >= 2 and 2 * c >= often}
     speakers |= names.keys()
     if len(counts) > Known.MOST:  # the rarest are forgotten
         known.counts = dict(sorted(counts.items(), key=lambda x: -x[1])[: Known.MOST // 2])
