@@ -1,10 +1,11 @@
 """Exact top-k inner-product search by pivot-table elimination.
 
-Integer vectors are compared by squared distance: a score is (|q|^2 + |x|^2 - d^2) / 2.  A table holds
-each vector's distances to a set of pivots; by the triangle inequality the largest difference between
-a query's and a candidate's distances to a pivot is a lower bound of theirs, and so bounds the score
-from above.  Within a block of candidates, each query evaluates them in the order of their bounds and
-stops when the next bound is below its k-th best score.  Bounds only save work: scores are exact integers.
+Integer vectors are compared by squared distance: a score is (|q|^2 + |x|^2 - d^2) / 2.  A pivot table, made
+once and written beside the vectors, holds each vector's distances to a set of pivots; by the triangle inequality the
+largest difference between a query's and a candidate's distances to a pivot is a lower bound of theirs, and
+so bounds the score from above.  Distances are doubles, and each bound is widened by what their rounding can
+be, the pivot's own distance included.  Within a block of candidates, each query evaluates them in the order of
+their bounds and stops when the next bound is below its k-th best score.  Bounds only save work: scores are exact integers.
 
 Queries and candidates are dealt into blocks by hash and every block of queries meets every block of
 candidates, which is a stated set of queries against all rows.  A block pair holds a bounded number of
@@ -20,101 +21,144 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Rows of a candidate block and of a query block, about.
+#: Rows of a candidate block and of a query block at most, about, and block pairs that are wanted at least.
 CANDIDATES = 8_192
 QUERIES = 4_096
-#: Pivots, and the most rows looked at to choose them.
+PAIRS = 48
+#: Pivots, and about how many rows are looked at to choose them.
 PIVOTS = 24
 SAMPLE = 4_096
-#: Components beyond this, in steps, could give scores that do not fit in 64 bits.
-LARGEST = 1 << 26
+#: The sample's share, by distance from its mean, that pivots are chosen from: a pivot far from all others bounds nothing.
+CENTRAL = 0.98
 
 
-def steps(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(vec_id, dim, v): floor(scale * x) of each component as 64-bit integers in bytes; unusable vectors are left out."""
-    x = F.col(vector_col)
-    sound = x.isNotNull() & (F.size(x) > 0) & ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c.cast("double") * scale) > LARGEST))
-
-    def encode(batches):
-        for b in batches:
-            ids, vectors = b.column(0), b.column(1)
-            sizes = np.diff(vectors.offsets.to_numpy())
-            flat = np.floor(vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64) * scale).astype("<i8")
-            ends = np.cumsum(sizes)
-            packed = [flat[e - n : e].tobytes() for n, e in zip(sizes, ends, strict=True)]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int32()), pa.array(packed, pa.binary())], names=["vec_id", "dim", "v"])
-
-    return df.where(sound & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("x")).mapInArrow(encode, "vec_id bigint, dim int, v binary")
-
-
-def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
-    """Up to n rows of the sample, each the farthest from those before it."""
+def choose_pivots(sample: np.ndarray, n: int = PIVOTS) -> np.ndarray:
+    """Up to n rows of the sample's central part, each the farthest from those before it."""
     x = sample.astype(np.float64)
-    first = int(((x - x.mean(axis=0)) ** 2).sum(axis=1).argmax())
-    chosen, far = [first], ((x - x[first]) ** 2).sum(axis=1)
-    while len(chosen) < n and far.max() > 0:
-        chosen.append(int(far.argmax()))
-        far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
-    return sample[chosen]
+    with np.errstate(over="ignore", invalid="ignore"):
+        out = ((x - np.median(x, axis=0)) ** 2).sum(axis=1)
+        x = x[np.argsort(out, kind="stable")[: max(1, int(np.ceil(CENTRAL * len(x))))]]
+        far = ((x - x[-1]) ** 2).sum(axis=1)
+        chosen = [len(x) - 1]
+        while len(chosen) < n and np.isfinite(far).all() and far.max() > 0:
+            chosen.append(int(far.argmax()))
+            far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
+    return x[chosen]
 
 
 def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """Euclidean distances of integer vectors; the squares are exact below 2**53."""
-    a, b = x.astype(np.float64), pivots.astype(np.float64)
-    return np.sqrt(np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None] - 2 * a @ b.T, 0))
-
-
-def search_block(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, pivots: np.ndarray, k: int) -> tuple[list[int], list[int], list[int]]:
-    """The k best candidates of the block for each query, and ties within it by smaller id: query ids, candidate ids, scores."""
-    order = np.argsort(cid, kind="stable")
-    cid, c = cid[order], c[order]
-    # Sums of products of integers are exact in a float of enough bits.
-    largest = float(np.abs(c).max(initial=0)) * float(np.abs(q).max(initial=0)) * c.shape[1]
-    exact = c.astype(np.float32) if largest < 2**24 else c.astype(np.float64) if largest < 2**53 else c
-    to_c, to_q = distances(c, pivots).T.astype(np.float32), distances(q, pivots).astype(np.float32)
-    c2, q2 = (c.astype(np.float64) ** 2).sum(axis=1), (q.astype(np.float64) ** 2).sum(axis=1)
-    # Bounds are taken in 32 bits and widened by more than that rounding.
-    half_c2 = (c2 * (0.5 + 1e-5) + 1e-3).astype(np.float32)
-    out_q, out_c, out_s = [], [], []
-    low, gap = np.empty(len(c), np.float32), np.empty(len(c), np.float32)
-    for i in range(len(q)):
-        low.fill(0.0)
-        for p in range(len(pivots)):
-            np.subtract(to_c[p], to_q[i, p], out=gap)
-            np.abs(gap, out=gap)
-            np.maximum(low, gap, out=low)
-        np.multiply(low, low, out=low)
-        low *= np.float32(-0.5)
-        low += half_c2
-        low += np.float32(q2[i] * (0.5 + 1e-5))
-        low[cid == qid[i]] = -np.inf
-        mine = q[i].astype(exact.dtype)
-        best_s, best_c = np.empty(0, np.int64 if exact.dtype.kind == "i" else np.float64), np.empty(0, np.int64)
-        # Candidates in the order of their bounds, more at a time as they go on; those below the k-th best end the search.
-        rest, size = np.flatnonzero(low > -np.inf), 8 * k
+    """Distances of vectors to pivots, each to a few units in its last place; infinite where the squares overflow."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        return np.stack([np.sqrt(np.nan_to_num(((x - p) ** 2).sum(axis=1), nan=np.inf)) for p in pivots], axis=1) if len(pivots) else np.empty((len(x), 0))
+
+
+def norms(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (x * x).sum(axis=1)
+
+
+def bounds(q2: float, to_q: np.ndarray, c2: np.ndarray, to_c: np.ndarray, dim: int) -> np.ndarray:
+    """Upper bounds of a query's scores with candidates, rounding allowed for; infinite where a square overflows."""
+    slack = (dim + 16) * 2.0**-52
+    with np.errstate(over="ignore", invalid="ignore"):
+        gap = np.zeros(len(c2))
+        for a, b in zip(to_q, to_c.T, strict=True):
+            np.maximum(gap, np.nan_to_num(np.abs(b - a) - slack * (a + b), nan=0.0, posinf=0.0, neginf=0.0), out=gap)
+        return np.nan_to_num(0.5 * ((q2 + c2) * (1 + 2 * slack) - gap * gap * (1 - 2 * slack)), nan=np.inf) + 1.0
+
+
+def _at_most(score: int) -> float:
+    """A double not above a score; far enough below it that no bound of as much is cut off."""
+    if abs(score) > 1 << 1000:
+        return -np.inf
+    return float(score) - abs(float(score)) * 2.0**-50
+
+
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of (ids, scores), ties to the smaller id."""
+    if scores.dtype == object:
+        top = np.array(sorted(range(len(ids)), key=lambda j: (-scores[j], ids[j]))[:k], int)
+    else:
+        if len(scores) > 4 * k:
+            near = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+            ids, scores = ids[near], scores[near]
+        top = np.lexsort((ids, -scores))[:k]
+    return ids[top], scores[top]
+
+
+class Block:
+    """Candidates of one length with what is known of them: sums of products are taken in the narrowest numbers that hold them exactly."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, table: np.ndarray, k: int):
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.x, self.table, self.k = ids[order], x[order], table[order], k
+        self.squares = norms(self.x)
+        size = np.abs(self.x).max(axis=1, initial=0)
+        # Vectors far larger than most are kept apart, or they would make all others dear.
+        self.usual = size <= max(2.0**20, 16 * float(np.median(size)) if len(size) else 0)
+        self.limit = float(size[self.usual].max(initial=0))
+        self.made: dict[str, np.ndarray] = {}
+        self.evaluated = 0
+
+    def _as(self, kind: str) -> np.ndarray:
+        if kind not in self.made:
+            x = np.where(self.usual[:, None], self.x, 0.0)
+            self.made[kind] = x.astype(kind)
+        return self.made[kind]
+
+    def scores(self, at: np.ndarray, q: np.ndarray, largest: float) -> np.ndarray:
+        """Exact scores of the candidates at some places, as 64-bit integers unless one needs more."""
+        self.evaluated += len(at)
+        most = self.limit * largest * self.x.shape[1]
+        kind = "float32" if most < 2**24 else "float64" if most < 2**53 else "int64" if most < 2**62 else None
+        plain = self.usual[at] if kind else np.zeros(len(at), bool)
+        if plain.all() and len(at):
+            return (self._as(kind).take(at, axis=0) @ q.astype(kind)).astype(np.int64)
+        out = np.empty(len(at), object)
+        if plain.any():
+            out[plain] = (self._as(kind).take(at[plain], axis=0) @ q.astype(kind)).astype(np.int64).tolist()
+        whole = [int(v) for v in q.tolist()]
+        out[~plain] = [sum(int(a) * b for a, b in zip(x, whole, strict=True)) for x in self.x[at[~plain]].tolist()]
+        return out.astype(np.int64) if all(-(1 << 62) < s < 1 << 62 for s in out) else out
+
+    def search(self, own: int, q: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The k best candidates for a query but those of its own id: ids and scores, best first."""
+        largest, square = float(np.abs(q).max(initial=0)), float(norms(q[None])[0])
+        low = bounds(square, table, self.squares, self.table, len(q))
+        rest, size = np.flatnonzero(self.ids != own), 8 * self.k
+        ids, best = np.empty(0, np.int64), np.empty(0, np.int64)
         while len(rest):
             if size < len(rest):
                 split = np.argpartition(-low[rest], size - 1)
                 now, rest = rest[split[:size]], rest[split[size:]]
             else:
                 now, rest = rest, rest[:0]
-            scores = exact.take(now, axis=0) @ mine
-            if len(best_s) >= k:
-                good = scores >= best_s[k - 1]
-                now, scores = now[good], scores[good]
-            best_s, best_c = np.concatenate([best_s, scores]), np.concatenate([best_c, cid[now]])
-            if len(best_s) > 4 * k:
-                near = best_s >= np.partition(best_s, len(best_s) - k)[len(best_s) - k]
-                best_s, best_c = best_s[near], best_c[near]
-            top = np.lexsort((best_c, -best_s))[:k]
-            best_s, best_c = best_s[top], best_c[top]
-            if len(best_s) >= k:
-                rest = rest[low[rest] >= best_s[k - 1]]
+            scores = self.scores(now, q, largest)
+            if scores.dtype != best.dtype:
+                scores, best = scores.astype(object), best.astype(object)
+            ids, best = _best(np.concatenate([ids, self.ids[now]]), np.concatenate([best, scores]), self.k)
+            if len(best) >= self.k:
+                rest = rest[low[rest] >= _at_most(int(best[-1]))]
             size *= 4
-        out_q += [int(qid[i])] * len(best_c)
-        out_c += best_c.tolist()
-        out_s += [int(s) for s in best_s]
-    return out_q, out_c, out_s
+        return ids, best
+
+
+def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(-1, dim)
+
+
+def _sound(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    x = F.col("x")
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x"))
+    return rows.where(F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))))
+
+
+def _steps(vectors: pa.Array, scale: int) -> list[np.ndarray]:
+    """floor(scale * x) of each vector's components, as whole doubles."""
+    flat = np.floor(vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64) * scale)
+    if not np.isfinite(flat).all():
+        raise OverflowError("a vector's component times the scale is beyond what a double holds")
+    return np.split(flat, np.cumsum(np.diff(vectors.offsets.to_numpy()))[:-1])
 
 
 def exact_top_k(df: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", candidate_rows: int = CANDIDATES, query_rows: int = QUERIES) -> DataFrame:
@@ -122,46 +166,81 @@ def exact_top_k(df: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id
 
     Queries are the rows whose id is divisible by `every`; candidates are all rows but those of the
     query's own id; ties go to the smaller id.  Vectors that are null, empty, or hold null or
-    non-finite components take no part, nor do those with a component beyond 2**26 steps, whose
-    scores might not fit in 64 bits, or rows without an id.  Vectors of different lengths are not
-    compared.  Rows that repeat an id are candidates each; as queries they are one, the first by their bytes.
+    non-finite components take no part, nor do rows without an id; any finite vector does.  Scores are
+    exact whatever their size; one among a query's k highest that does not fit in 64 bits raises an
+    error, as does a component that leaves the range of doubles when scaled.  Vectors of different lengths
+    are not compared.  Rows that repeat an id are candidates each; as queries they are one, the first by their bytes.
     """
     spark = df.sparkSession
-    held = materialize(steps(df, id_col, vector_col, scale), "vectors")
-    sizes = held.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("m")).collect()  # one row a vector length
-    if not sizes:
+    sound = _sound(df, id_col, vector_col)
+    sizes = sound.groupBy(F.size("x").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("m"))
+    total, rows, asked = sizes.agg(F.sum("n"), F.max("n"), F.max("m")).first()
+    if not total:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    rows, asked = max(r["n"] for r in sizes), max(r["m"] for r in sizes)
+    # One sample for all lengths; a length of which it has no vector goes without pivots and compares all.
+    picked = sound.where(F.pmod(F.xxhash64("vec_id", "x", F.lit(5)), F.lit(max(1, total // SAMPLE))) == 0).select("vec_id", "x").limit(2 * SAMPLE).collect()
+    by_length: dict[int, list[tuple]] = {}
+    for p in sorted(picked):
+        by_length.setdefault(len(p["x"]), []).append(p["x"])
+    pivots = {n: choose_pivots(np.floor(np.array(x, np.float64) * scale)) for n, x in by_length.items()}
+    shared = spark.sparkContext.broadcast(pivots)  # chosen from a sample of bounded size
+
+    def measured(batches):
+        """Vectors with their row of the pivot table."""
+        for b in batches:
+            vectors = _steps(b.column(1), scale)
+            sizes = np.array([len(v) for v in vectors], np.int32)
+            rows = np.empty(len(vectors), object)
+            for n in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == n)
+                for i, d in zip(at.tolist(), distances(np.stack([vectors[i] for i in at]), shared.value.get(n, np.empty((0, n)))), strict=True):
+                    rows[i] = d
+            columns = [b.column(0), pa.array(sizes), *(pa.array([v.astype("<f8").tobytes() for v in vs], pa.binary()) for vs in (vectors, rows))]
+            yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "dim", "v", "d"])
+
+    held = materialize(sound.select("vec_id", "x").mapInArrow(measured, "vec_id bigint, dim int, v binary, d binary"), "pivot_table")
+    # Blocks are smaller where there would be too few pairs of them to keep machines busy.
     c_blocks, q_blocks = -(-rows // candidate_rows), -(-max(asked, 1) // query_rows)
-    pivots = {}
-    for r in sizes:
-        picked = held.where(F.col("dim") == r["dim"]).where(F.xxhash64("vec_id", F.lit(5)) % max(1, r["n"] * 2 // SAMPLE) == 0).limit(SAMPLE).collect()
-        if picked:
-            pivots[r["dim"]] = choose_pivots(np.stack([np.frombuffer(p["v"], "<i8") for p in sorted(picked)]), PIVOTS)
-    shared = spark.sparkContext.broadcast(pivots)  # at most PIVOTS vectors for each vector length
-
-    def block(column: str, salt: int, n: int):
-        return F.pmod(F.xxhash64(column, "v", F.lit(salt)), F.lit(n)).cast("int")
-
-    c = held.withColumn("cb", block("vec_id", 1, c_blocks)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    asked_rows = held.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("v", "dim")).alias("f")).select("vec_id", "f.dim", "f.v")
-    q = asked_rows.withColumn("qb", block("vec_id", 2, q_blocks)).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))
+    while c_blocks * q_blocks < PAIRS and rows > 256 * c_blocks:
+        c_blocks, q_blocks = c_blocks * 2, q_blocks * 2 if asked > 256 * q_blocks else q_blocks
+
+    def block(salt: int, n: int):
+        return F.pmod(F.xxhash64("vec_id", "v", F.lit(salt)), F.lit(n)).cast("int")
+
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), c_blocks * q_blocks // 4, 1)
+    keys = ("dim", "qb", "cb")
+    c = held.withColumn("cb", block(1, c_blocks)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+    asked_rows = held.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("v", "dim", "d")).alias("f")).select("vec_id", "f.dim", "f.v", "f.d")
+    q = asked_rows.withColumn("qb", block(2, q_blocks)).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
+        dim = left.column("dim")[0].as_py()
+        width = len(shared.value.get(dim, ()))
+        mine = Block(right.column("vec_id").to_numpy(), _matrix(right.column("v"), dim), _table(right.column("d"), width), k)
+        out: tuple[list, list, list] = ([], [], [])
+        for own, x, row in zip(left.column("vec_id").to_pylist(), _matrix(left.column("v"), dim), _table(left.column("d"), width), strict=True):
+            ids, scores = mine.search(own, x, row)
+            out[0].extend([own] * len(ids))
+            out[1].extend(ids.tolist())
+            out[2].extend(map(int, scores))
+        # A score beyond 64 bits may still be beaten in another block; it travels as the nearest that fits and is refused at the end.
+        scores = [min(max(s, -FARTHEST), FARTHEST) for s in out[2]]
+        return pa.table([pa.array(x, pa.int64()) for x in (out[0], out[1], scores)], schema=schema)
+
+    # Both sides are dealt to as many tasks as the pairs of blocks ask for, not to as few as their bytes would.
+    blocks = q.repartition(tasks, *keys).groupBy(*keys).cogroup(c.repartition(tasks, *keys).groupBy(*keys)).applyInArrow(meet, "query_id bigint, vec_id bigint, score bigint")
+    ranked = blocks.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))))
+    refused = F.raise_error(F.format_string("the score of query %d and vector %d does not fit in 64 bits", F.col("query_id"), F.col("vec_id"))).cast("long")
+    score = F.when(F.abs(F.col("score")) >= FARTHEST, refused).otherwise(F.col("score"))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"))
 
-        def matrix(t: pa.Table) -> np.ndarray:
-            return np.stack([np.frombuffer(v, "<i8") for v in t.column("v").to_pylist()])
 
-        dim = left.column("dim")[0].as_py()
-        qid, cid = (t.column("vec_id").to_numpy() for t in (left, right))
-        q_m, c_m = matrix(left), matrix(right)
-        table = shared.value.get(dim)
-        found = search_block(qid, q_m, cid, c_m, q_m[:1] if table is None else table, k)
-        return pa.table([pa.array(x, pa.int64()) for x in found], schema=schema)
+#: Scores of this size or more do not travel as they are.
+FARTHEST = (1 << 63) - 1
 
-    blocks = q.groupBy("dim", "qb", "cb").cogroup(c.groupBy("dim", "qb", "cb")).applyInArrow(meet, "query_id bigint, vec_id bigint, score bigint")
-    ranked = blocks.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+def _table(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(-1, width) if width else np.empty((len(column), 0))
