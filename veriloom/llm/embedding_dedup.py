@@ -1,8 +1,8 @@
 """Embedding near-dedup: a navigable small-world graph per shard, every shard queried, links verified by cosine.
 
-Equal vectors are one class.  Classes are dealt into shards by hash, each shard builds its graph once,
-and every class queries every shard, in blocks.  In each block a sample of queries is audited against
-the whole shard; while the audit finds less than the wanted recall the beam is doubled, and a beam as
+Equal vectors are one class, with a number of its own, whatever ids its rows have.  Classes are dealt into shards by hash, each shard
+builds its graph once, and every class queries every shard, in blocks.  In each block a sample of queries is audited against
+the whole shard, those that link with something; while the audit finds less than the wanted recall the beam is doubled, and a beam as
 wide as the graph is replaced by the comparison of all.  Nodes a beam returns are followed to their members and every link is verified
 in double precision, or follows from the triangle inequality with a margin.
 
@@ -24,10 +24,12 @@ from .hnsw import TIGHT, Graph
 #: At least this many shards, and about this many classes in each at most.
 SHARDS = 8
 SHARD_ROWS = 65_536
-#: Queries of a block, those handled at once, and those audited in each block.
-BLOCK = 16_384
+#: Queries of a block (a shard's graph is sent once a block), those handled at once, those that are compared with all nodes of
+#: a shard in each block, and those of them that are audited, the ones with most links first.
+BLOCK = 65_536
 AT_ONCE = 512
-AUDITED = 48
+COMPARED = 512
+AUDITED = 64
 #: First beam, and the recall that an audit has to find.
 BEAM = 16
 RECALL = 0.995
@@ -54,6 +56,9 @@ class Shard:
     def widen(self, q: np.ndarray) -> None:
         """Double the beam until the sample's links, and its nearest nodes, are found."""
         sims = q.astype(np.float32) @ self.graph.fast[self.nodes].T
+        # Of the sample those that link most, as far as there are such.
+        most = np.argsort(-(sims >= self.reach).sum(axis=1), kind="stable")[:AUDITED]
+        q, sims = q[most], sims[most]
         nearest = np.partition(sims, -min(2, sims.shape[1]), axis=1)[:, -min(2, sims.shape[1])] if sims.shape[1] else sims
         wanted = [set(self.nodes[(s >= self.reach) | (s >= max(n, 0.7))].tolist()) for s, n in zip(sims, nearest, strict=True)]
         total = sum(map(len, wanted))
@@ -112,25 +117,26 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def classes(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, copies, dim, v): each distinct vector that can link, its least id, and its unit vector's bytes."""
+    """(cid, h, x, vec_id, copies, dim, v): each distinct vector that can link, with a number of its own, its least id, and its unit vector's bytes."""
     x = F.col("x")
     sound = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("x")).where(
         F.col("vec_id").isNotNull() & x.isNotNull() & ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c.cast("double")) == float("inf"))) & F.exists(x, lambda c: c != 0)
     )
-    same = sound.groupBy("x").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies")).select("vec_id", "copies", "x")
+    same = sound.groupBy("x").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies"))
+    numbered = same.select(F.monotonically_increasing_id().alias("cid"), F.xxhash64("x").alias("h"), "x", "vec_id", "copies")
+    kind = numbered.schema["x"].dataType.simpleString()
 
     def unit(batches):
         for b in batches:
-            vectors = b.column(2)
             out, sizes = [], []
-            for v in vectors:
+            for v in b.column(2):
                 u = np.array(v.values.to_numpy(zero_copy_only=False), np.float64)
                 u = u / np.abs(u).max()  # so that squares neither overflow nor vanish
                 out.append((u / np.sqrt((u * u).sum())).astype("<f8").tobytes())
                 sizes.append(len(u))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int32()), pa.array(out, pa.binary())], names=["vec_id", "copies", "dim", "v"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sizes, pa.int32()), pa.array(out, pa.binary())], names=[*b.schema.names, "dim", "v"])
 
-    return same.mapInArrow(unit, "vec_id bigint, copies bigint, dim int, v binary")
+    return numbered.mapInArrow(unit, f"cid bigint, h bigint, x {kind}, vec_id bigint, copies bigint, dim int, v binary")
 
 
 def embedding_components(df: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", shards: int = SHARDS, shard_rows: int = SHARD_ROWS, block: int = BLOCK) -> DataFrame:
@@ -140,7 +146,7 @@ def embedding_components(df: DataFrame, cosine: float = 0.9, id_col: str = "vec_
     precision.  n_links counts the other rows linked directly; component_id is the smallest id reachable, the own
     included; kept marks the rows whose id is their component's.  Vectors that are null, empty or zero or hold null or
     non-finite components link with nothing, nor do rows without an id (component and kept null).
-    Rows that repeat an id are rows each.  `cosine` must be at least 0.8: below it, members of a node
+    Rows that repeat an id are rows each, with their own vector's links and the links' component.  `cosine` must be at least 0.8: below it, members of a node
     need not be linked through it.
     """
     if cosine < 0.8 or cosine > TIGHT:
@@ -149,20 +155,21 @@ def embedding_components(df: DataFrame, cosine: float = 0.9, id_col: str = "vec_
     sizes = [r["n"] for r in held.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()]  # one row a vector length
     n_shards = max(shards, -(-max(sizes, default=0) // shard_rows))
     n_blocks = max(1, -(-max(sizes, default=0) // block))
-    keyed = held.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(11)), F.lit(n_shards)).cast("int"))
+    vectors = held.select("cid", "copies", "dim", "v")
+    keyed = vectors.withColumn("shard", F.pmod(F.xxhash64("v", F.lit(11)), F.lit(n_shards)).cast("int"))
 
     def build(t: pa.Table) -> pa.Table:
-        order = np.argsort(t.column("vec_id").to_numpy())
+        order = np.argsort(np.array(t.column("v").to_pylist(), object), kind="stable")
         t = t.take(pa.array(order))
         graph = Graph(_matrix(t.column("v")))
-        ids, copies = (t.column(c).to_numpy().astype("<i8").tobytes() for c in ("vec_id", "copies"))
+        ids, copies = (t.column(c).to_numpy().astype("<i8").tobytes() for c in ("cid", "copies"))
         members = graph.owner != np.arange(len(order))
-        vec = t.column("vec_id").to_numpy()
-        joined = pa.array([list(map(int, p)) for p in zip(vec[members], vec[graph.owner[members]], strict=True)], pa.list_(pa.int64()))
-        return pa.table({"dim": [t.column("dim")[0].as_py()], "shard": [t.column("shard")[0].as_py()], "graph": [graph.dump()], "ids": [ids], "copies": [copies], "joined": pa.array([joined.to_pylist()], pa.list_(pa.list_(pa.int64())))}, schema=_GRAPHS)
+        cid = t.column("cid").to_numpy()
+        joined = [list(map(int, p)) for p in zip(cid[members], cid[graph.owner[members]], strict=True)]
+        return pa.table({"dim": [t.column("dim")[0].as_py()], "shard": [t.column("shard")[0].as_py()], "graph": [graph.dump()], "ids": [ids], "copies": [copies], "joined": pa.array([joined], pa.list_(pa.list_(pa.int64())))}, schema=_GRAPHS)
 
     graphs = materialize(keyed.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, graph binary, ids binary, copies binary, joined array<array<bigint>>"), "graphs")
-    asking = held.withColumn("blk", F.pmod(F.xxhash64("vec_id", F.lit(12)), F.lit(n_blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
+    asking = vectors.withColumn("blk", F.pmod(F.xxhash64("v", F.lit(12)), F.lit(n_blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
     asked = graphs.select("dim", "shard", "graph", "ids", "copies").withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
 
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -171,32 +178,30 @@ def embedding_components(df: DataFrame, cosine: float = 0.9, id_col: str = "vec_
         graph = Graph.load(left.column("graph")[0].as_py())
         ids, copies = (np.frombuffer(left.column(c)[0].as_py(), "<i8") for c in ("ids", "copies"))
         shard = Shard(graph, ids, copies, cosine)
-        order = np.argsort(right.column("vec_id").to_numpy())
-        qid, q = right.column("vec_id").to_numpy()[order], _matrix(right.column("v"))[order]
-        shard.widen(q[np.random.default_rng(len(q)).choice(len(q), min(AUDITED, len(q)), replace=False)])
+        order = np.argsort(np.array(right.column("v").to_pylist(), object), kind="stable")
+        qid, q = right.column("cid").to_numpy()[order], _matrix(right.column("v"))[order]
+        shard.widen(q[np.random.default_rng(len(q)).choice(len(q), min(COMPARED, len(q)), replace=False)])
         n, a, b = shard.links(qid, q)
         edges: dict[int, list[int]] = {}
         for x, y in zip(a, b, strict=True):
             if x != y:
                 edges.setdefault(x, []).append(y)
-        return pa.table({"vec_id": pa.array(qid, pa.int64()), "n": pa.array(n, pa.int64()), "to": pa.array([edges.get(int(v), []) for v in qid], pa.list_(pa.int64()))}, schema=_FOUND)
+        return pa.table({"cid": pa.array(qid, pa.int64()), "n": pa.array(n, pa.int64()), "to": pa.array([edges.get(int(v), []) for v in qid], pa.list_(pa.int64()))}, schema=_FOUND)
 
-    found = materialize(asked.groupBy("dim", "shard", "blk").cogroup(asking.groupBy("dim", "shard", "blk")).applyInArrow(ask, "vec_id bigint, n bigint, to array<bigint>"), "links")
+    found = materialize(asked.groupBy("dim", "shard", "blk").cogroup(asking.groupBy("dim", "shard", "blk")).applyInArrow(ask, "cid bigint, n bigint, to array<bigint>"), "links")
     joined = graphs.select(F.explode("joined").alias("j")).select(F.col("j")[0].alias("a"), F.col("j")[1].alias("b"))
-    part = components(found.select(F.col("vec_id").alias("a"), F.explode("to").alias("b")).union(joined))
-    linked = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
-    by_class = (
-        held.select("vec_id", "copies").join(linked, "vec_id", "left").join(part.withColumnRenamed("id", "vec_id"), "vec_id", "left")
-        .select(F.col("vec_id").alias("class"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-    )
-    # Each row finds its class by its vector's hash and least id, so that a vector that many rows share is not gathered.
-    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("x"))
-    first = rows.where(F.col("x").isNotNull()).groupBy("x").agg(F.min("vec_id").alias("class"))
-    out = rows.join(first, "x", "left").select("vec_id", "class").join(by_class, "class", "left")
-    component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id"))
-    n_links = F.when(F.col("vec_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).cast("long")
-    return out.select("vec_id", n_links.alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    part = components(found.select(F.col("cid").alias("a"), F.explode("to").alias("b")).union(joined)).withColumnsRenamed({"id": "cid", "component": "root"})
+    linked = found.groupBy("cid").agg(F.sum("n").alias("n"))
+    rooted = held.select("cid", "vec_id", "copies").join(linked, "cid", "left").join(part, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    least = rooted.groupBy("root").agg(F.min("vec_id").alias("least"))
+    by_class = rooted.join(least, "root").select("cid", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("links"), "least")
+    known = held.select("cid", "h", "x").join(by_class, "cid").select("h", F.col("x").alias("same"), "links", "least")
+    # Each row finds its class by its vector's hash and then by the vector; of a vector that many rows share the join's partition is split.
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("x")).withColumn("hash", F.xxhash64("x"))
+    out = rows.join(known, (F.col("hash") == F.col("h")) & (F.col("x") == F.col("same")) & F.col("vec_id").isNotNull(), "left")
+    component = F.coalesce("least", "vec_id")
+    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
 
 
 _GRAPHS = pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("graph", pa.binary()), ("ids", pa.binary()), ("copies", pa.binary()), ("joined", pa.list_(pa.list_(pa.int64())))])
-_FOUND = pa.schema([("vec_id", pa.int64()), ("n", pa.int64()), ("to", pa.list_(pa.int64()))])
+_FOUND = pa.schema([("cid", pa.int64()), ("n", pa.int64()), ("to", pa.list_(pa.int64()))])

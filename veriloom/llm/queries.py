@@ -62,10 +62,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """conversations written as raw transcripts with markers of several styles, parsed again without their roles."""
-    from .chat import as_transcripts, format_transcripts
+    """conversations written as raw transcripts with markers of several styles, parsed again without their roles; weights come from a bounded sample of labelled turns."""
+    from .chat import as_transcripts, format_transcripts, learn
 
-    return format_transcripts(as_transcripts(read(spark, sf_dir, "conversations")))
+    turns = read(spark, sf_dir, "conversations")
+    return format_transcripts(as_transcripts(turns), weights=learn(turns))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +97,26 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
+#: The table's own roles and texts, which the parser has to recover, in the canonical form.
+CHAT_SQL = r"""
+WITH t AS (SELECT conv_id, turn, role, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM conversations)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS turn_no, role, text,
+  '<|im_start|>' || role || chr(10) || replace(text, '<|im_', '<| im_') || '<|im_end|>' || chr(10) AS chat FROM t
+"""
+
+#: Every pair of vectors and the closure of their links; only for the small tables of the correctness run.
+LINKS_SQL = """
+WITH RECURSIVE rows_in AS (SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings),
+v AS (SELECT r, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS size FROM rows_in
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.r AS a, b.r AS b FROM v a JOIN v b ON a.r <> b.r AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.9),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+reach(r, other) AS (SELECT r, r FROM rows_in UNION SELECT reach.r, links.b FROM reach JOIN links ON links.a = reach.other),
+least AS (SELECT reach.r, min(o.vec_id) AS component_id FROM reach JOIN rows_in o ON o.r = reach.other GROUP BY reach.r)
+SELECT i.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, i.vec_id = component_id AS kept
+FROM rows_in i JOIN least ON least.r = i.r LEFT JOIN counts ON counts.a = i.r
+"""
+
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_poisson_mixing, op3_exact_topk, op4_pattern_packing, op5_toxicity, op6_simhash, op7_token_counts, op8_chat_format, op9_quality, op10_embedding_dedup, pipeline)}
 
 
@@ -104,5 +125,7 @@ def oracles() -> dict[str, str]:
 
     return {
         "op3_exact_topk": TOPK_SQL,
+        "op8_chat_format": CHAT_SQL,
+        "op10_embedding_dedup": LINKS_SQL,
         "op2_poisson_mixing": MIX_SQL.format(docs="documents", columns="doc_id, text, lang, source, n_chars, copy"),
     }
