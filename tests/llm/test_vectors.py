@@ -41,11 +41,11 @@ def test_top_k(spark, blocks):
     first = {}
     for i, v in ok:
         if i % 20 == 0:
-            key = np.array(v, "<i8").tobytes()
+            key = np.array(v, "<f8").tobytes()
             first[i] = min(first.get(i, key), key)
     want = []
     for q, key in first.items():
-        v = np.frombuffer(key, "<i8").tolist()
+        v = [int(c) for c in np.frombuffer(key, "<f8")]
         scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in ok if i != q and len(w) == len(v))[:20]
         want += [(q, r, i, -s) for r, (s, i) in enumerate(scored, 1)]
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in out) == sorted(want)
@@ -65,6 +65,59 @@ def test_large_components(spark):
         assert [(r.vec_id, r.score) for r in sorted(out, key=lambda r: r["rank"]) if r.query_id == q] == [(i, -s) for s, i in want]
 
 
+@pytest.mark.parametrize("far", [1e3, 1e5, 1e6, 1e9])
+def test_outliers_decide_nothing(spark, far):
+    """Vectors near a line and one that is far away: pivots and bounds stay sound, and nothing finite is left out."""
+    from veriloom.llm.topk import exact_top_k
+
+    rng = np.random.default_rng(7)
+    line = rng.standard_normal(16)
+    x = [(line * t + rng.standard_normal(16) * 0.01).tolist() for t in rng.uniform(0.5, 2, 800)] + [[far] * 16, [-far] * 16]
+    rows = [(i, v) for i, v in enumerate(x)] + [(1000, [2e6] + [0.0] * 15)]
+    out = exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 10, candidate_rows=256, query_rows=32).collect()
+    ints = {i: [math.floor(64 * c) for c in v] for i, v in rows}
+    got = {}
+    for r in sorted(out, key=lambda r: r["rank"]):
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert set(got) == {i for i in ints if i % 20 == 0}
+    for q in got:
+        scored = sorted((-sum(a * b for a, b in zip(ints[q], w)), i) for i, w in ints.items() if i != q)[:10]
+        assert got[q] == [(i, -s) for s, i in scored]
+
+
+def test_scores_beyond_64_bits(spark):
+    from veriloom.llm.topk import exact_top_k
+
+    frame_of = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    huge = [(0, [1e10, 1.0]), (1, [1e10, 0.0]), (2, [1.0, 1.0]), (3, [-1e300, 0.0]), (4, [2.0, 0.0])]
+    with pytest.raises(Exception, match="does not fit in 64 bits"):
+        exact_top_k(frame_of(huge), 2).collect()
+    # One beyond 64 bits that is not among the best does no harm.
+    low = [(0, [1e10, 1.0]), (1, [-1e10, 0.0]), (2, [1.0, 1.0]), (3, [-1e300, 0.0]), (4, [2.0, 0.0])]
+    assert [(r.vec_id, r.score) for r in sorted(exact_top_k(frame_of(low), 2).collect(), key=lambda r: r["rank"])] == [(4, 64 * 64 * 2 * 10**10), (2, 64 * 64 * (10**10 + 1))]
+
+
+def test_bounds_hold_and_eliminate():
+    """Bounds are never below a score, and in clustered data most candidates are never evaluated."""
+    from veriloom.llm import topk
+
+    rng = np.random.default_rng(3)
+    x = np.floor((rng.standard_normal((40, 8)) * 3)[rng.integers(0, 40, 4000)] * 64 + rng.standard_normal((4000, 8)) * 6)
+    for far in (1.0, 1e12):
+        y = np.vstack([x, np.full((1, 8), far)])
+        pivots = topk.choose_pivots(y)
+        d, ids = topk.distances(y, pivots), np.arange(len(y))
+        block = topk.Block(ids, y, d, 10)
+        for i in range(0, 200, 7):
+            exact = [sum(int(a) * int(b) for a, b in zip(y[i], w)) for w in y]
+            upper = topk.bounds(float((y[i] ** 2).sum()), d[i], topk.norms(y), d, 8)
+            assert all(u >= s for u, s in zip(upper, exact))
+            want = sorted((-s, j) for j, s in enumerate(exact) if j != i)[:10]
+            got_ids, got = block.search(i, y[i], d[i])
+            assert [(int(j), int(s)) for j, s in zip(got_ids, got)] == [(j, -s) for s, j in want]
+        assert block.evaluated < 0.5 * len(range(0, 200, 7)) * len(y)
+
+
 def brute_links(rows, cosine=0.9):
     ok = [(i, np.array(v, np.float64)) for i, v, *_ in rows if i is not None and v and all(c is not None and math.isfinite(c) for c in v) and any(v)]
     root = {i: i for i, *_ in rows if i is not None}
@@ -98,6 +151,36 @@ def test_embedding_components(spark, shards, block):
     assert embedding_components(frame(spark, rows).where("false")).count() == 0
 
 
+def test_ids_that_repeat(spark):
+    """Rows of one id keep their own vectors' links: as many rows out as in."""
+    from veriloom.llm.embedding_dedup import embedding_components
+
+    frame_of = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = embedding_components(frame_of([(5, [1.0, 0.0]), (5, [0.0, 1.0]), (6, [1.0, 0.01]), (7, [-1.0, 0.3])])).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in out) == [(5, 0, 5, True), (5, 1, 5, True), (6, 1, 5, False), (7, 0, 7, True)]
+    out = embedding_components(frame_of([(9, [1.0, 0.0]), (9, [1.0, 0.0]), (9, [0.0, 1.0]), (4, [-0.0, 2.0]), (8, [0.0, 1.0])])).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in out) == [(4, 2, 4, True), (8, 2, 4, False), (9, 1, 9, True), (9, 1, 9, True), (9, 2, 4, False)]
+
+
+def test_sparse_pairs_near_the_limit(spark):
+    """Few pairs, all close to the limit, among vectors that link with nothing."""
+    from veriloom.llm.embedding_dedup import embedding_components
+
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((1500, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for i in range(0, 300, 2):
+        away = rng.standard_normal(24)
+        away -= away @ x[i] * x[i]
+        angle = np.arccos(rng.uniform(0.88, 0.93))
+        x[i + 1] = np.cos(angle) * x[i] + np.sin(angle) * away / np.linalg.norm(away)
+    rows = [(i, v) for i, v in enumerate(x.tolist())]
+    got = {r.vec_id: r.n_links for r in embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shards=2).collect()}
+    want = (x @ x.T >= 0.9).sum(axis=1) - 1
+    assert all(got[i] <= want[i] for i in range(len(x)))
+    assert sum(got.values()) >= 0.97 * want.sum() > 100
+
+
 def test_limits_of_cosine(spark):
     from veriloom.llm.embedding_dedup import embedding_components
 
