@@ -9,17 +9,22 @@ repeated task draws the same and no state is kept.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import free_name, materialize
 
 #: A rate is cut into equal parts of at most this mean, drawn one by one; so exp(-mean) cannot underflow.
 PART = 8.0
 #: Terms of each part's distribution.  The mass beyond 64 at a mean of 8 is under 1e-35, far below the step of the uniform numbers (2**-52).
 TERMS = 64
+#: A table of rates goes to every executor if it has at most this many sources (some 100 bytes each).
+FEW_SOURCES = 100_000
+#: Bytes of a partition of the output, about.
+PARTITION_BYTES = 64 << 20
 
 
 def uniform(seed: int, *parts: Column) -> Column:
@@ -28,27 +33,33 @@ def uniform(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(1 << 52))
 
 
-def poisson_copies(rate: Column, seed: int, *parts: Column) -> Column:
-    """The Poisson count with mean `rate` at the uniform numbers of `parts`; 0 where rate is null or not above 0."""
+def distribution(rate: Column) -> Column:
+    """The Poisson distribution with mean `rate` as struct(pieces, cdf): how many equal parts it is cut into, and each part's distribution function up to where no uniform number reaches."""
     pieces = F.greatest(F.lit(1), F.ceil(rate / PART)).cast("int")
     mean = rate / pieces
+    start = F.struct(F.exp(-mean).alias("p"), F.array(F.exp(-mean)).alias("cdf"))
+
+    def step(s: Column, i: Column) -> Column:
+        p = s["p"] * mean / i
+        return F.struct(p.alias("p"), F.array_append(s["cdf"], F.element_at(s["cdf"], -1) + p).alias("cdf"))
 
-    def one(k: Column) -> Column:
-        u = uniform(seed, *parts, k)
-        start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("c"), F.lit(0).alias("n"))
+    cdf = F.aggregate(F.sequence(F.lit(1), F.lit(TERMS - 1)), start, step)["cdf"]
+    return F.struct(pieces.alias("pieces"), F.filter(cdf, lambda c: c <= 1 - 2.0**-52).alias("cdf"))
 
-        def step(s: Column, i: Column) -> Column:
-            p = s["p"] * mean / i
-            return F.when(u >= s["c"], F.struct(p.alias("p"), (s["c"] + p).alias("c"), i.alias("n"))).otherwise(s)
 
-        return F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), start, step)["n"]
+def drawn_copies(of: Column, seed: int, *parts: Column) -> Column:
+    """The count that a distribution(rate) has at the uniform numbers of `parts`."""
+    numbers = F.transform(F.sequence(F.lit(1), of["pieces"]), lambda k: uniform(seed, *parts, k))
+    return F.aggregate(numbers, F.lit(0), lambda n, u: n + F.size(F.filter(of["cdf"], lambda c: u >= c)))
 
-    drawn = F.aggregate(F.sequence(F.lit(1), pieces), F.lit(0), lambda n, k: n + one(k))
-    return F.when(rate > 0, drawn).otherwise(F.lit(0))
+
+def poisson_copies(rate: Column, seed: int, *parts: Column) -> Column:
+    """The Poisson count with mean `rate` at the uniform numbers of `parts`; 0 where rate is null or not above 0."""
+    return F.when(rate > 0, drawn_copies(distribution(rate), seed, *parts)).otherwise(F.lit(0))
 
 
 def rates(docs: DataFrame, weights: Mapping[str, float] | None = None, flatten: float = 0.5, epochs: float = 1.0, source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """(source, chars, weight, rate) for each source, the null source included.
+    """(source, chars, weight, rate, counts) for each source, the null source included; counts is the rate's distribution.
 
     `weights` gives target shares, normalised over the sources present; sources it leaves out get none.
     Without it a source's share is its size to the power `flatten`, normalised.  Sizes are characters of
@@ -68,7 +79,8 @@ def rates(docs: DataFrame, weights: Mapping[str, float] | None = None, flatten:
     # One row: the totals.  A join with it is no product of rows.
     joined = size.join(F.broadcast(total))
     weight = F.when(F.col("all_shares") > 0, F.col("share") / F.col("all_shares")).otherwise(F.lit(0.0))
-    return joined.select("source", "chars", weight.alias("weight"), (weight * F.col("all_chars") * F.lit(float(epochs)) / F.col("chars")).alias("rate"))
+    rated = joined.select("source", "chars", weight.alias("weight"), (weight * F.col("all_chars") * F.lit(float(epochs)) / F.col("chars")).alias("rate"))
+    return rated.withColumn("counts", F.when(F.col("rate") > 0, distribution(F.col("rate"))))
 
 
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, flatten: float = 0.5, epochs: float = 1.0, seed: int = 20, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", copy_col: str | None = None) -> DataFrame:
@@ -76,16 +88,21 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, flatten: fl
 
     All columns are returned, and with `copy_col` the copy's number from 0.  Rows with a null source are
     a source of their own; null and empty texts are drawn like others; a null id draws as the id null.
-    Rows that repeat an id draw alike.  An empty table gives an empty one.
+    Rows that repeat an id draw alike.  An empty table gives an empty one.  Rates have no upper limit: a source of a few
+    characters is repeated as its weight asks, one row a copy.
     """
     names = docs.columns
-    src, rate, copies, copy, order = free_name(docs, "source", "rate", "copies", "copy", "order")
-    table = rates(docs, weights, flatten, epochs, source_col, text_col).select(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias(src), F.col("rate").alias(rate))
+    src, rate, copy, order, one = free_name(docs, "source", "rate", "copy", "order", "one")
+    held = materialize(rates(docs, weights, flatten, epochs, source_col, text_col), "rates")
+    known = held.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("chars") * F.col("rate")).alias("chars")).first()
+    table = held.select(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias(src), F.col("counts").alias(rate))
     keyed = docs.withColumn(src, F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n")))
-    drawn = keyed.join(table, src).withColumn(copies, poisson_copies(F.col(rate), seed, F.col(id_col)))
-    dealt = drawn.where(F.col(copies) > 0).withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(copies) - 1)))
-    dealt = dealt.withColumn(order, F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col(copy)))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Rates are few as a rule and go to the documents; documents would otherwise meet at a source's task.
+    joined = keyed.join(F.broadcast(table) if known["n"] <= FEW_SOURCES else table, src)
+    # The draw stands in the generator alone, so that no filter repeats it.
+    drawn = joined.select(*(docs[c] for c in names), F.posexplode_outer(F.array_repeat(F.lit(True), drawn_copies(F.col(rate), seed, docs[id_col]))).alias(copy, one))
+    dealt = drawn.where(F.col(copy).isNotNull()).withColumn(order, F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col(copy)))
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil((known["chars"] or 0) / PARTITION_BYTES))
     out = dealt.repartition(n, order).sortWithinPartitions(order)
     return out.select(*names, *([F.col(copy).alias(copy_col)] if copy_col else []))
 
