@@ -14,6 +14,7 @@ Each piece then finds its place from its rank among pieces of its length.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Mapping
@@ -43,12 +44,36 @@ _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\\[-`{-~]{0,3})").fullmat
 _BYTES = {b: chr(256 + 33 + b - 127) if 127 <= b <= 160 else chr(256 + 67) if b == 173 else chr(b) for b in range(33, 256)}
 
 
+#: The settings under which a text's ids are those of its words.  White space becomes one space and is dropped
+#: by the split, which keeps runs of letters, single digits and runs of other signs; nothing else looks beyond a word.
+BY_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+    "post_processor": None,
+}
+
+
+def goes_by_words(settings: dict) -> bool:
+    """Whether a tokenizer file's settings are those that the shortcut by words is proved for.
+
+    Its added tokens must hold no white space and be matched before normalisation, and its merges must be plain.
+    """
+    model = settings.get("model") or {}
+    plain = model.get("type", "BPE") == "BPE" and not model.get("dropout") and not model.get("byte_fallback") and not model.get("ignore_merges") and not model.get("continuing_subword_prefix")
+    added = all(not t["normalized"] and not t["lstrip"] and not t["rstrip"] and not t["single_word"] and t["content"].split() == [t["content"]] and not t["content"][0].isalnum() for t in settings.get("added_tokens") or [])
+    return plain and added and all(settings.get(k) == v for k, v in BY_WORDS.items())
+
+
 class WordIds(dict):
     """Ids of words as the tokenizer gives them, as little-endian bytes; of(text) gives those of a whole text.
 
-    The tokenizer drops white space before it merges, and its normaliser changes nothing across white
-    space, so a text's ids are those of its words one after another.  A word is encoded when it is first
-    met and remembered: plain words go to the tokenizer's merges directly, others through the whole of it.
+    Where the tokenizer's settings are those of `BY_WORDS`, it drops white space before it merges, and its normaliser changes
+    nothing across white space, so a text's ids are those of its words one after another.  A word is encoded when it is first
+    met and remembered: plain words go to the tokenizer's merges directly, others through the whole of it.  With
+    any other settings each text is encoded whole.
     """
 
     def __init__(self, path: str, end_id: int = 0):
@@ -57,11 +82,13 @@ class WordIds(dict):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            self.by_words = goes_by_words(json.load(f))
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
         self.merge = self.model.model.tokenize
-        self.packed = [i.to_bytes(4, "little") for i in range(self.model.get_vocab_size())]
+        self.packed = [i.to_bytes(4, "little") for i in range(max(self.model.get_vocab(with_added_tokens=True).values()) + 1)]
         self.end = int(end_id).to_bytes(4, "little")
         self.marks = {"": b""}
         self.old: dict[str, bytes] = {}
@@ -96,6 +123,8 @@ class WordIds(dict):
 
     def of(self, text: str) -> bytes:
         """The text's ids and the end id."""
+        if not self.by_words:
+            return self._whole(text) + self.end
         if len(self) > MEMO:
             self.old = dict(self)
             self.clear()
@@ -109,23 +138,22 @@ def word_ids(path: str, end_id: int) -> WordIds:
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, salt): each row's ids and the end id, cut where longer than `seq_len`."""
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """(doc_id, row_id, piece, start, length, ids_crc32): each row's ids and the end id, cut where longer than `seq_len`; row_id is a row's own number."""
+    source = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row_id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def load():
-        ids, seen = word_ids(tokenizer_path, end_id), [0]
+        ids = word_ids(tokenizer_path, end_id)
 
         def cut(texts: list[str]) -> list[pa.Array]:
             cuts = [[(i, len(p) // 4, zlib.crc32(p)) for i, p in enumerate(d[a : a + 4 * seq_len] for a in range(0, len(d), 4 * seq_len))] for d in map(ids.of, texts)]
-            seen[0] += len(texts)
-            return [pa.array([[{"piece": i, "length": n, "ids_crc32": c} for i, n, c in ps] for ps in cuts], _CUTS), pa.array(range(seen[0] - len(texts), seen[0]), pa.int64())]
+            return [pa.array([[{"piece": i, "length": n, "ids_crc32": c} for i, n, c in ps] for ps in cuts], _CUTS)]
 
         return cut
 
-    made = map_texts(source, "text", load, f"doc_id {kind}, cuts array<struct<piece:int,length:bigint,ids_crc32:bigint>>, salt bigint", ["doc_id"])
-    flat = made.select("doc_id", "salt", F.explode("cuts").alias("c")).select("doc_id", "salt", "c.*")
-    return flat.select("doc_id", "piece", (F.col("piece").cast("long") * seq_len).alias("start"), "length", "ids_crc32", "salt")
+    made = map_texts(source, "text", load, f"doc_id {kind}, row_id bigint, cuts array<struct<piece:int,length:bigint,ids_crc32:bigint>>", ["doc_id", "row_id"])
+    flat = made.select("doc_id", "row_id", F.explode("cuts").alias("c")).select("doc_id", "row_id", "c.*")
+    return flat.select("doc_id", "row_id", "piece", (F.col("piece").cast("long") * seq_len).alias("start"), "length", "ids_crc32")
 
 
 _CUTS = pa.list_(pa.struct([("piece", pa.int32()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
@@ -162,11 +190,16 @@ def patterns(lengths: np.ndarray, seq_len: int) -> list[tuple[tuple[int, int], .
     return out
 
 
-def fit(found: list[tuple[tuple[int, int], ...]], histogram: Mapping[int, int], sweeps: int = 6) -> np.ndarray:
-    """Repeat counts x >= 0 that minimise the squared difference between the pieces that patterns use and the histogram.
+#: What `fit` leaves unexplained of the pieces, as a share, at which it stops; and the most passes over all patterns.
+SETTLED = 1e-4
+SWEEPS = 12
+
+
+def fit(found: list[tuple[tuple[int, int], ...]], histogram: Mapping[int, int], sweeps: int = SWEEPS) -> tuple[np.ndarray, float]:
+    """Repeat counts x >= 0 that minimise the squared difference between the pieces that patterns use and the histogram, and that difference's root over the histogram's.
 
-    Non-negative least squares by cyclic coordinate descent.  Each pass visits the patterns in one fixed
-    shuffled order; as early patterns take up what they can, few patterns end above zero, which keeps
+    Non-negative least squares by cyclic coordinate descent, until a pass moves less than SETTLED of the pieces.  Each pass visits the
+    patterns in one fixed shuffled order; as early patterns take up what they can, few patterns end above zero, which keeps
     the loss from rounding small.
     """
     order = np.random.default_rng(7).permutation(len(found)).tolist()
@@ -186,9 +219,10 @@ def fit(found: list[tuple[tuple[int, int], ...]], histogram: Mapping[int, int],
                 moved += abs(d)
                 for k, m in p:
                     rest[k] -= m * d
-        if moved < 1.0:
+        if moved <= max(1.0, SETTLED * sum(histogram.values())):
             break
-    return np.array(x)
+    residual = (sum(v * v for v in rest.values()) / max(1.0, sum(float(v) ** 2 for v in histogram.values()))) ** 0.5
+    return np.array(x), residual
 
 
 def best_fit(left: dict[int, int], seq_len: int) -> list[tuple[tuple[int, ...], int]]:
@@ -244,7 +278,7 @@ def plan(histogram: Mapping[int, int], seq_len: int) -> list[tuple[tuple[int, ..
         out.append(((seq_len,), left.pop(seq_len)))
     found = patterns(np.array(sorted(left), np.int64), seq_len) if left else []
     if found:
-        x = fit(found, left)
+        x, _ = fit(found, left)
         for j in np.argsort(-x, kind="stable").tolist():
             if x[j] < 0.5:
                 break
@@ -273,10 +307,10 @@ def _slots(made: list[tuple[tuple[int, ...], int]], seq_len: int) -> tuple[np.nd
 
 
 def pack(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+    """One row per piece: doc_id, piece, start, length, ids_crc32, row_id, sequence_id, offset.
 
     A null text counts as empty; an empty one is the end id alone.  Each row of `docs` is packed by
-    itself, rows that repeat an id included, and null ids stay null.  Only documents of more than
+    itself, rows that repeat an id included: their pieces have row_ids of their own.  Null ids stay null.  Only documents of more than
     `seq_len` ids are cut.  Sequences are gapless from offset 0.  An empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -285,10 +319,10 @@ def pack(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, end_id: int
     lengths, firsts, bases, offsets = _slots(plan(histogram, seq_len), seq_len)
     groups = max(GROUPS, -(-sum(histogram.values()) // GROUP_ROWS))
     # The pieces are written already, so each keeps its group and its rank when a task is repeated.
-    salted = held.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "salt"), F.lit(groups)))
+    salted = held.withColumn("grp", F.pmod(F.xxhash64("row_id", "piece"), F.lit(groups)))
     counts = salted.groupBy("length", "grp").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("length", "grp", (F.sum("n").over(Window.partitionBy("length").orderBy("grp")) - F.col("n")).alias("before"))
-    within = F.row_number().over(Window.partitionBy("length", "grp").orderBy("doc_id", "piece", "salt", "ids_crc32")) - 1
+    within = F.row_number().over(Window.partitionBy("length", "grp").orderBy("row_id", "piece")) - 1
     ranked = salted.withColumn("within", within).join(before, ["length", "grp"]).withColumn("rank", F.col("before") + F.col("within"))
     stride = int(max(histogram.values(), default=0)) + 1
     shared = spark.sparkContext.broadcast((lengths * stride + firsts, firsts, bases, offsets))  # a few thousand runs of places
@@ -301,7 +335,7 @@ def pack(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, end_id: int
             kept = [b.column(b.schema.get_field_index(c)) for c in names]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(base[at] + r - first[at], pa.int64()), pa.array(offset[at], pa.int64())], names=[*names, "sequence_id", "offset"])
 
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "row_id"]
     kind = held.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
+    schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, row_id bigint, sequence_id bigint, offset bigint"
     return ranked.select(*names, F.col("rank").cast("long").alias("rank")).mapInArrow(place, schema)
