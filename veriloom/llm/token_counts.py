@@ -2,7 +2,7 @@
 
 A pre-token is a run of spaces with the characters after it, up to the next space or line feed.  No
 piece of the vocabulary holds a space after another character, and none holds a line feed; both are
-proved from the vocabulary when it is loaded.  So no merge crosses from one pre-token into the next,
+proved from the vocabulary and the normaliser's settings when the model is loaded; where they do not hold, texts are counted whole.  So no merge crosses from one pre-token into the next,
 and a text's count is the sum over its pre-tokens.  Vocabulary strings that the library encodes as
 one token are found once, offline; pre-tokens among them count as one without any merging, and the
 rest are merged by the library, each distinct one once a batch, with a bounded memo between batches.
@@ -25,6 +25,20 @@ SPACE = "▁"
 _PRETOKEN = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 
 
+def keeps_text(model_path: str) -> bool:
+    """Whether the model's file says that its normaliser keeps texts as they are, but for one space put before them and spaces written as a sign."""
+    try:
+        from sentencepiece import sentencepiece_model_pb2
+    except ImportError:
+        return False  # nothing is proved; texts are counted whole
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(model_path, "rb") as f:
+        model.ParseFromString(f.read())
+    n, t = model.normalizer_spec, model.trainer_spec
+    same = not n.precompiled_charsmap and not n.normalization_rule_tsv and not model.denormalizer_spec.precompiled_charsmap
+    return same and n.add_dummy_prefix and not n.remove_extra_whitespaces and n.escape_whitespaces and not t.treat_whitespace_as_suffix and t.model_type == t.BPE
+
+
 class PieceCounter:
     """Counts tokens of whole texts as the sentencepiece model does, without begin or end tokens."""
 
@@ -34,23 +48,22 @@ class PieceCounter:
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_path)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         plain = [p for i, p in enumerate(pieces) if not (self.model.is_control(i) or self.model.is_unknown(i) or self.model.is_byte(i) or self.model.is_unused(i))]
-        self.split = all(SPACE not in p.lstrip(SPACE) and "\n" not in p for p in plain) and self._plain_spaces()
-        self.whole = self._prove(plain)
+        self.split = all(SPACE not in p.lstrip(SPACE) and "\n" not in p for p in plain) and keeps_text(model_path)
+        self.whole = self._prove(plain) if self.split else {}
         self.memo: dict[str, int] = dict(self.whole)
 
-    def _plain_spaces(self) -> bool:
-        """Proof that the normaliser keeps texts as they are, but for one space put before them."""
-        probe = " a  B́ﬁ\t 　x "
-        return self.model.decode(self.model.encode(probe)) == probe and self.model.encode("a") == self.model.encode(f"{SPACE}a"[1:])
-
     def _prove(self, plain: list[str]) -> dict[str, int]:
         """The vocabulary strings that alone are one token: after a space, or (marked by a line feed) at a line's start."""
+        # A line feed alone is a space and a line feed for the library; what either counts follows from one and two of them.
+        one, two = (len(x) for x in self.model.encode(["\n", "\n\n"], num_threads=1))
+        feed, space = two - one, 2 * one - two
         after = [p[1:] for p in plain if p[0] == SPACE and len(p) > 1 and SPACE not in p[1:]]
         known = {w: 1 for w, ids in zip(after, self.model.encode(after, num_threads=1), strict=True) if len(ids) == 1}
         first = ["\n" + p for p in plain if SPACE not in p]
         # "\nword" is a space, a line feed and the word; the space is not part of the pre-token.
-        known |= {w: 2 for w, ids in zip(first, self.model.encode(first, num_threads=1), strict=True) if len(ids) == 3}
-        return known | {"": 1, "\n": 1}
+        known |= {w: feed + 1 for w, ids in zip(first, self.model.encode(first, num_threads=1), strict=True) if len(ids) == space + feed + 1}
+        self.space = space
+        return known | {"": space, "\n": feed}
 
     def _pretokens(self, text: str) -> list[str]:
         """Keys of `memo`: a word after one space as it is, with n further spaces before it if there are more, a line's first word with its line feed."""
@@ -77,7 +90,7 @@ class PieceCounter:
             need = set().union(*keys).difference(self.memo)
         words = list(need)
         for w, ids in zip(words, self.model.encode(words, num_threads=1), strict=True):
-            self.memo[w] = len(ids) - (w[0] == "\n")
+            self.memo[w] = len(ids) - self.space * (w[0] == "\n")
         of = self.memo.__getitem__
         out = [sum(map(of, k)) for k in keys]
         for w in words:
