@@ -17,10 +17,10 @@ from .common import small_batches
 from .labelled import sample
 from .toxicity import score_column, scored
 
-#: Bytes of each dictionary, of a block, and the most bytes of one text in a dictionary.
+#: Bytes of each dictionary, which are shared out evenly to the texts that it is made of but for SHARE bytes each at least, and of a block.
 DICTIONARY = 96 * 1024
-BLOCK = 2048
 SHARE = 256
+BLOCK = 2048
 LEVEL = 6
 #: Labelled rows to learn from, of each class, and the longest text among them.
 PER_CLASS = 2_000
@@ -30,23 +30,23 @@ MOST_CHARS = 60_000
 class Compressor:
     """Dictionaries and the curve that calibrates what they say."""
 
-    def __init__(self, good: list[bytes], bad: list[bytes]):
-        self.raw = [self._join(good), self._join(bad)]
+    def __init__(self, good: list[bytes], bad: list[bytes], dictionary: int = DICTIONARY, share: int = SHARE):
+        self.raw = [self._join(good, dictionary, share), self._join(bad, dictionary, share)]
         self.weights = np.zeros(1)
         self.mean, self.spread = np.zeros(1), np.ones(1)
         self._made = None
 
     @staticmethod
-    def _join(texts: list[bytes]) -> bytes:
-        """Pieces from the middle of texts, shortest texts whole, until the dictionary is full."""
-        out, size = [], 0
+    def _join(texts: list[bytes], dictionary: int, share: int) -> bytes:
+        """Pieces from the middle of texts, short texts whole, until the dictionary is full."""
+        out, size, share = [], 0, max(share, dictionary // max(1, len(texts)))
         for t in texts:
-            at = max(0, (len(t) - SHARE) // 2)
-            out.append(t[at : at + SHARE])
+            at = max(0, (len(t) - share) // 2)
+            out.append(t[at : at + share])
             size += len(out[-1])
-            if size >= DICTIONARY:
+            if size >= dictionary:
                 break
-        return b"\n".join(out)[-DICTIONARY:] or b"-" * 16
+        return b"\n".join(out)[-dictionary:] or b"-" * 16
 
     def __getstate__(self):
         return {**self.__dict__, "_made": None}
@@ -65,7 +65,7 @@ class Compressor:
         """What a text's compressed sizes say: the difference over the plain size on the whole and in its worst block, and how far it shrinks."""
         data = text.encode()
         if not data:
-            return [0.0, 0.0, 1.0, 0.0]
+            return [0.0, 0.0, 1.0, 1.0]  # what ever shorter texts come to
         good, bad, plain = self._compressors()
         n = max(1, round(len(data) / BLOCK))
         cuts = [len(data) * i // n for i in range(n + 1)]
@@ -102,8 +102,8 @@ class Compressor:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
 
 
-def fit(texts: list[str], y: list[int], share: float) -> Compressor | None:
-    """Dictionaries from the first half of the rows and the curve from the second; all rows for both where there are few.  None without both classes."""
+def fit(texts: list[str], y: list[int], share: float, dictionary: int = DICTIONARY, piece: int = SHARE) -> Compressor | None:
+    """Dictionaries of at most `dictionary` bytes, of at least `piece` bytes from the middle of a text, from the first half of the rows and the curve from the second; all rows for both where there are few.  None without both classes."""
     labels = np.array(y, np.int64)
     if len(set(y)) < 2:
         return None
@@ -112,7 +112,7 @@ def fit(texts: list[str], y: list[int], share: float) -> Compressor | None:
         # Too few for halves: a third of the rows calibrates.
         half = np.arange(len(labels)) % 3 != 0
     rest = ~half if all((labels[~half] == c).any() for c in (0, 1)) else np.ones(len(labels), bool)
-    model = Compressor(*([t.encode() for t, c, h in zip(texts, y, half, strict=True) if h and c == k] for k in (1, 0)))
+    model = Compressor(*([t.encode() for t, c, h in zip(texts, y, half, strict=True) if h and c == k] for k in (1, 0)), dictionary, piece)
     model.calibrate([t for t, r in zip(texts, rest, strict=True) if r], labels[rest], share)
     return model
 
@@ -120,8 +120,9 @@ def fit(texts: list[str], y: list[int], share: float) -> Compressor | None:
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_class: int = PER_CLASS, most_chars: int = MOST_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: doc_id, held_out, score, predicted.
 
-    Scores use whole texts and nothing else.  Null texts count as empty; an empty text has the score of
-    one that no dictionary shortens.  Where the labels do not hold both classes, every score is 1.  A
+    Scores use whole texts and nothing else.  Of the bounded sample, half makes the dictionaries: at most `DICTIONARY`
+    bytes for a class, in pieces from the middles of its texts, of `SHARE` bytes or an even share if that is more; the
+    other half calibrates.  Null texts count as empty; an empty text has the score that ever shorter texts come to, which no dictionary shortens.  Where the labels do not hold both classes, every score is 1.  A
     null id is not held out.  Repeated rows are kept.
     """
     return scored(docs, model(docs, labels, per_class, most_chars, id_col, text_col), threshold, id_col, text_col)
