@@ -196,14 +196,14 @@ def test_components(spark):
 def test_mixing(spark, docs):
     from veriloom.llm.mixing import mix, poisson_copies, rates
 
-    big = spark.range(30_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 100 == 1, "tiny").otherwise("mid").alias("source"), F.lit("some words").alias("text"))
+    big = spark.range(30_000).repartition(4).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 100 == 1, "tiny").otherwise("mid").alias("source"), F.lit("some words").alias("text"))
     out = mix(big, weights={"hot": 1, "mid": 2, "tiny": 1}, copy_col="copy")
     share = {r.source: r.n for r in out.groupBy("source").agg(F.count("*").alias("n")).collect()}
     assert abs(sum(share.values()) - 30_000) < 700 and abs(share["hot"] / 30_000 - 0.25) < 0.01 and abs(share["tiny"] / 30_000 - 0.25) < 0.02
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, mix(big.repartition(7), weights={"hot": 1, "mid": 2, "tiny": 1}, copy_col="copy").collect()))
     assert out.groupBy("doc_id", "copy").count().where("count > 1").count() == 0
-    by = spark.range(20_000).select(poisson_copies(F.lit(3.5), 1, F.col("id")).alias("k"), poisson_copies(F.lit(900.0), 1, F.col("id")).alias("m")).agg(F.avg("k"), F.var_samp("k"), F.avg("m"), F.var_samp("m")).first()
-    assert abs(by[0] - 3.5) < 0.06 and abs(by[1] - 3.5) < 0.2 and abs(by[2] - 900) < 1 and abs(by[3] - 900) < 40
+    of = lambda n, rate: spark.range(n).select(poisson_copies(F.lit(rate), 1, F.col("id")).alias("k")).agg(F.avg("k"), F.var_samp("k")).first()
+    assert all(abs(x - 3.5) < 0.3 for x in of(8_000, 3.5)) and abs(of(600, 900.0)[0] - 900) < 6 and abs(of(600, 900.0)[1] - 900) < 250
     order = [r.doc_id for r in mix(big).collect()]
     assert abs(np.corrcoef(order, range(len(order)))[0, 1]) < 0.05  # shuffled
     edge = mix(docs)
@@ -298,31 +298,6 @@ def test_long_texts_in_windows():
         T.WINDOW = was
 
 
-def test_licenses(spark):
-    from veriloom.llm.licenses import LICENSES, Scanner, blocks, license_scan
-
-    long = text(1, 400)
-    rows = [
-        (1, f"{long}\nReleased under the MIT License.\n{long}"), (2, "This work is licensed under the GNU General Public License, version 3."), (3, "This work is licensed under the GNU General Public License, version 2."),
-        (4, f"{long}. This software is licensed under the Apache License, Version 2.0. {long}"), (5, "Licensed under CC BY-NC 4.0.\n\nAll rights reserved."), (6, "She has a driving license and likes it very much indeed."), (7, None), (8, ""), (9, long), (1, "Released under the MIT License."),
-        (None, "SPDX-License-Identifier: Apache-2.0"), (10, "Distributed under the the MIT License."),
-    ]
-    out = rows_of(license_scan(spark.createDataFrame(rows, "doc_id long, text string").withColumn("block", F.lit(1))))
-    got = sorted(((str(r["doc_id"]), r["license"] or "", r["exact"]) for r in out))
-    assert got == sorted([("1", "MIT", True), ("2", "GPL-3.0", True), ("3", "GPL-2.0", True), ("4", "Apache-2.0", False), ("5", "CC-BY-NC-4.0", True), ("5", "Proprietary", True), ("6", "", False), ("1", "MIT", True), ("None", "Apache-2.0", True), ("10", "MIT", False)])
-    texts = dict(rows[1:9])
-    assert all(texts[r["doc_id"]][r["block_start"] :].startswith(r["block"]) for r in out if r["doc_id"] in (2, 3, 4, 5))
-    assert next(r for r in out if r["doc_id"] == 10)["differences"] == ["+the"]
-    scanner = Scanner()
-    for name, (forms, _, opening) in LICENSES.items():
-        for form in forms:
-            assert scanner.scan(f"This project is licensed under the terms of {form}.")[0] == name, form
-        assert scanner.scan(opening)[0] in (name, None) or name in ("BSD-2-Clause", "GPL-2.0")
-    wrapped = "Permission is hereby granted to license\nthe licensed work. Licensed under MIT.\n\nCopyright 2020"
-    assert [b for _, b in blocks(wrapped)] == ["Permission is hereby granted to license\nthe licensed work.", "Licensed under MIT.", "Copyright 2020"]
-    assert [b for _, b in blocks("x " * 2_000 + "license " + "y " * 2_000)][0].count("license") == 1
-
-
 def test_chat(spark):
     from veriloom.llm.chat import as_transcripts, format_transcripts, parse, render
 
@@ -343,5 +318,6 @@ def test_chat(spark):
     rows = rows_of(format_transcripts(odd))
     assert sorted((str(r["conv_id"]), r["role"], r["text"]) for r in rows) == [("1", "user", "a"), ("1", "user", "a"), ("3", "assistant", "z"), ("None", "user", "x")]
     assert format_transcripts(odd.where("false")).count() == 0
-    many = spark.createDataFrame([(1, i % 60, "User: q" if i % 2 == 0 else "Assistant: a") for i in range(20_000)], "conv_id long, turn long, text string")
-    assert format_transcripts(many).count() == 20_000
+    many = spark.createDataFrame([(1, i, f"User: q{i}" if i % 2 == 0 else f"Assistant: a{i}") for i in range(6_000)], "conv_id long, turn long, text string")
+    long = sorted((r["turn_no"], r["role"], r["text"]) for r in rows_of(format_transcripts(many)))
+    assert long == [(i, "assistant" if i % 2 else "user", f"{'a' if i % 2 else 'q'}{i}") for i in range(6_000)]

@@ -27,9 +27,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset and the session is local."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="veriloom-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -40,10 +42,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
     Used where a table feeds both a plan made on the driver and the result, so that a lost executor
     repeats a read and not the work, and values that depend on the order of rows stay as written.
+    The table is removed by `forget`, or when the session's JVM ends.
     """
-    path = f"{shared_dir(df.sparkSession)}/veriloom-{uuid.uuid4().hex}/{name}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/veriloom-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    files, at = _file_system(spark, path)
+    files.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._veriloom_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Remove a table that `materialize` wrote and that no plan still to be run reads."""
+    if path := getattr(df, "_veriloom_path", None):
+        files, at = _file_system(df.sparkSession, path)
+        files.delete(at, True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    """The file system and place of the folder that was made for one table."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path).getParent()
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
 #: Bytes of an Arrow batch between the JVM and Python, at most; texts are long, and buffers are doubled as they grow.

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import forget, materialize
 
 #: A path doubles its reach in each round; this is far beyond any table that fits in 64-bit ids.
 MAX_ROUNDS = 60
@@ -39,6 +39,7 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         step = materialize(_small_star(_large_star(now).distinct()).distinct(), "edges")
         mark = step.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        forget(now)  # the next step reads this one's table alone
         now = step
         if mark == seen or not mark[0]:
             break
