@@ -147,13 +147,14 @@ def test_package(spark):
 
 
 def test_references(spark):
+    from veriloom.operators import entries as E
     from veriloom.operators import references as R
 
     bib = "".join(f"@article{{{k}, title={{{{{t}}}}}, journal={{Letters}}, year={{{y}}}, {x}}}\n" for k, t, y, x in [
         ("ok", "Slow growth of coastal dunes", 2001, "doi={https://doi.org/10.1000/ok}"), ("gone", "A work that is gone", 2001, "doi={10.1000/gone}"), ("other", "Birds over the northern sea", 2001, "doi={10.1000/ok}"),
         ("pre", "Tides and sand in models", 2001, "eprint={2101.00001}, archiveprefix={arXiv}"), ("nopre", "Tides and sand in models", 2001, "note={arXiv:2101.00002}"), ("seek", "Found by its title alone", 1999, ""), ("never", "Never found by anyone anywhere", 1999, ""), ("down", "Registry was down that day", 1999, "doi={10.1000/down}"), ("old", "Slow growth of coastal dunes", "n.d.", "doi={10.1000/ok}"),
     ])
-    e = {x["key"]: x for x in R.bib_entries(bib)}
+    e = {x["key"]: x for x in E.read_entries("", bib)}
     assert e["ok"]["doi"] == "10.1000/ok" and e["pre"]["arxiv"] == "2101.00001" and e["nopre"]["arxiv"] == "2101.00002" and e["ok"]["title"] == "Slow growth of coastal dunes"
     work = lambda t, y=2001, **k: {"message": {"DOI": "10.1000/ok", "title": [t], "issued": {"date-parts": [[y]]}, **k}}
     hit = lambda t, y: {"DOI": f"10.1000/{y}", "title": [t], "issued": {"date-parts": [[y]]}}
@@ -171,7 +172,7 @@ def test_references(spark):
     assert {r.key: r.matched.doi for r in v.collect() if r.matched}["seek"] == "10.1000/1998"
     assert sorted(r.category for r in R.reference_findings(v).collect()) == ["reference_arxiv_unresolved", "reference_doi_mismatch", "reference_doi_unresolved", "reference_not_found"]
     listed = "Text [1].\nReferences\n[1] Marsh AB, Reed C. The slow growth of coastal dunes under wind. J Dunes. 2001;3(2):1-9. doi:10.1000/abc.\n[2] Hill, D. (2003). A book on the tides of the sea. Press.\n[3] \"A title that stands in quotes\", by E. Moor, 1999.\n"
-    es = R.read_entries(listed, "")
+    es = E.read_entries(listed, "")
     assert [x["title"] for x in es] == ["The slow growth of coastal dunes under wind", "A book on the tides of the sea", "A title that stands in quotes"]
     assert [x["year"] for x in es] == ["2001", "2003", "1999"] and es[0]["doi"] == "10.1000/abc"
 
@@ -256,6 +257,7 @@ def test_works_without_corpus_operators():
 
 
 def test_reference_items(spark):
+    from veriloom.operators import entries as E
     from veriloom.operators import references as R
 
     text = "We begin. Dunes grow [1, 3-4]. Then [2] says more.\n\nLast [1].\nReferences\n" + "".join(f"[{i}] Writer {i}. A title of work number {i} here. Journal. 2001.\n" for i in range(1, 6))

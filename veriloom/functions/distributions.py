@@ -2,49 +2,73 @@
 
 The incomplete beta and gamma functions follow from numerical integration by Gauss-Legendre panels after
 a change of variable that takes their end singularities out; relative accuracy is better than 1e-9 where the
-probability exceeds 1e-12.
+probability exceeds 1e-12.  All rows of a test are integrated together.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  used as pa.compute
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _X, _W = np.polynomial.legendre.leggauss(40)
+#: Rows that are integrated at once, so that memory is bounded.
+ROWS = 512
+_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+
+def _integral(log_density: Callable[..., np.ndarray], parameters: tuple[np.ndarray, ...], low: np.ndarray, high: np.ndarray, panels: int) -> np.ndarray:
+    """Integrals of exp(log_density(u, *parameters)) from low to high, one a row."""
+    out = np.empty(len(low))
+    for at in range(0, len(low), ROWS):
+        part = slice(at, at + ROWS)
+        half = ((high[part] - low[part]) / panels / 2)[:, None, None]
+        mid = low[part][:, None, None] + half * (2 * np.arange(panels) + 1)[:, None]
+        with np.errstate(divide="ignore"):
+            values = np.exp(log_density(mid + half * _X, *(p[part][:, None, None] for p in parameters)))
+        out[part] = (values * _W * half).sum(axis=(1, 2))
+    return out
 
 
-def _integral(f, a: float, b: float, panels: int) -> float:
-    edges = np.linspace(a, b, panels + 1)
-    mid, half = (edges[1:] + edges[:-1]) / 2, (edges[1:] - edges[:-1]) / 2
-    return float((f(mid[:, None] + half[:, None] * _X) * _W * half[:, None]).sum())
+def _arrays(*values) -> tuple[np.ndarray, ...]:
+    return tuple(np.atleast_1d(np.asarray(v, np.float64)) for v in np.broadcast_arrays(*values))
 
 
-def beta_tail(a: float, b: float, x: float) -> float:
-    """The regularised incomplete beta function I_x(a, b).
+def beta_tails(a, b, x) -> np.ndarray:
+    """The regularised incomplete beta function I_x(a, b) of arrays.
 
     With t = sin(u)^2 the density becomes sin^(2a-1) cos^(2b-1), smooth for a, b of a half or more; it is
     integrated around its peak on the side that is asked for.
     """
-    if x <= 0:
-        return 0.0
-    if x >= 1:
-        return 1.0
-    log_c = math.log(2) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-    at = math.asin(math.sqrt(x))
-    peak = math.atan2(math.sqrt(max(a - 0.5, 1e-12)), math.sqrt(max(b - 0.5, 1e-12)))
-    width = 12 / math.sqrt(2 * (a + b) + 1)
-
-    def density(u: np.ndarray) -> np.ndarray:
-        with np.errstate(divide="ignore"):
-            return np.exp(log_c + (2 * a - 1) * np.log(np.sin(u)) + (2 * b - 1) * np.log(np.cos(u)))
+    a, b, x = _arrays(a, b, x)
+    log_c = math.log(2) + _lgamma(a + b) - _lgamma(a) - _lgamma(b)
+    at = np.arcsin(np.sqrt(np.clip(x, 0, 1)))
+    peak = np.arctan2(np.sqrt(np.maximum(a - 0.5, 1e-12)), np.sqrt(np.maximum(b - 0.5, 1e-12)))
+    width = 12 / np.sqrt(2 * (a + b) + 1)
+    below = at <= peak
+    low, high = np.where(below, np.maximum(0.0, at - width), at), np.where(below, at, np.minimum(math.pi / 2, at + width))
+    area = _integral(lambda u, a, b, c: c + (2 * a - 1) * np.log(np.sin(u)) + (2 * b - 1) * np.log(np.cos(u)), (a, b, log_c), low, high, 24)
+    out = np.where(below, np.minimum(1.0, area), np.maximum(0.0, 1.0 - area))
+    return np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, out))
+
+
+def gamma_uppers(a, x) -> np.ndarray:
+    """The regularised upper incomplete gamma function Q(a, x) of arrays, integrated over the square root of the variable."""
+    a, x = _arrays(a, x)
+    at, peak = np.sqrt(np.maximum(x, 0.0)), np.sqrt(np.maximum(a - 0.5, 1e-12))
+    above = at >= peak
+    low, high = np.where(above, at, np.maximum(0.0, at - 12.0)), np.where(above, at + 12.0, at)
+    area = _integral(lambda u, a, c: math.log(2) - c + (2 * a - 1) * np.log(u) - u * u, (a, _lgamma(a)), low, high, 32)
+    return np.where(x <= 0, 1.0, np.where(above, np.minimum(1.0, area), np.maximum(0.0, 1.0 - area)))
 
-    if at <= peak:
-        return min(1.0, _integral(density, max(0.0, at - width), at, 24) if at > 0 else 0.0)
-    return max(0.0, 1.0 - _integral(density, at, min(math.pi / 2, at + width), 24))
+
+def beta_tail(a: float, b: float, x: float) -> float:
+    return float(beta_tails(a, b, x)[0])
 
 
 def beta_upper(a: float, b: float, x: float) -> float:
@@ -53,48 +77,51 @@ def beta_upper(a: float, b: float, x: float) -> float:
 
 
 def gamma_upper(a: float, x: float) -> float:
-    """The regularised upper incomplete gamma function Q(a, x), integrated over the square root of the variable."""
-    if x <= 0:
-        return 1.0
-    top, at, peak = 12.0, math.sqrt(x), math.sqrt(max(a - 0.5, 1e-12))
+    return float(gamma_uppers(a, x)[0])
 
-    def density(u: np.ndarray) -> np.ndarray:
-        with np.errstate(divide="ignore"):
-            return np.exp(math.log(2) - math.lgamma(a) + (2 * a - 1) * np.log(u) - u * u)
 
-    if at >= peak:
-        return min(1.0, _integral(density, at, at + top, 32))
-    return max(0.0, 1.0 - _integral(density, max(0.0, at - top), at, 32))
+def p_values(test: str, stat: np.ndarray, df1: np.ndarray, df2: np.ndarray) -> np.ndarray:
+    """Two-sided p for z, t and r, upper-tail p for F and chi2; not a number where degrees of freedom are missing or not positive."""
+    x = np.abs(stat)
+    if test == "z":
+        return np.array([math.erfc(v / math.sqrt(2)) for v in x])
+    out = np.full(len(x), np.nan)
+    good = (df1 > 0) & ((df2 > 0) if test == "F" else True) & ~np.isnan(x)
+    s, x, a, b = stat[good], x[good], df1[good], df2[good]
+    if test in ("t", "r"):
+        if test == "r":
+            inside = np.minimum(x, 1 - 1e-16)
+            x, full = inside * np.sqrt(a / (1 - inside * inside)), x >= 1
+        p = beta_tails(a / 2, 0.5, a / (a + x * x)) if len(x) else x
+        out[good] = np.where(full, 0.0, p) if test == "r" else p
+    elif test == "F":
+        out[good] = np.where(s <= 0, 1.0, beta_tails(b / 2, a / 2, b / (b + a * np.maximum(s, 0)))) if len(s) else s
+    elif test == "chi2":
+        out[good] = gamma_uppers(a / 2, s / 2) if len(s) else s
+    return out
 
 
 def p_value(test: str, stat: float, df1: float | None, df2: float | None) -> float | None:
-    """Two-sided p for z, t and r, upper-tail p for F and chi2; none where degrees of freedom are missing or not positive."""
-    x = abs(stat)
-    if test == "z":
-        return math.erfc(x / math.sqrt(2))
-    if df1 is None or df1 <= 0 or test == "F" and (df2 is None or df2 <= 0):
-        return None
-    if test == "r":
-        if x >= 1:
-            return 0.0
-        test, x = "t", x * math.sqrt(df1 / (1 - x * x))
-    if test == "t":
-        return beta_tail(df1 / 2, 0.5, df1 / (df1 + x * x)) if x else 1.0
-    if stat <= 0:
-        return 1.0
-    if test == "F":
-        return beta_tail(df2 / 2, df1 / 2, df2 / (df2 + df1 * stat))
-    if test == "chi2":
-        return gamma_upper(df1 / 2, stat / 2)
-    return None
-
-
-def p_column(test: Column, stat: Column, df1: Column, df2: Column) -> Column:
-    """p_value over columns."""
+    """The same for one test; none where degrees of freedom are missing or not positive."""
+    missing = lambda v: np.array([np.nan if v is None else v], np.float64)
+    p = float(p_values(test, missing(stat), missing(df1), missing(df2))[0])
+    return None if math.isnan(p) else p
+
+
+def p_columns(test: Column, stats: Column, df1: Column, df2: Column) -> Column:
+    """p values of an array of statistics that share a test and its degrees of freedom, as an array; nulls where there is none."""
 
     def run(t: pa.Array, s: pa.Array, a: pa.Array, b: pa.Array) -> pa.Array:
-        rows = zip(t.to_pylist(), s.to_pylist(), a.to_pylist(), b.to_pylist(), strict=True)
-        return pa.array([None if k is None or x is None else p_value(k, x, u, v) for k, x, u, v in rows], pa.float64())
+        lengths = np.array([0 if n is None else n for n in pa.compute.list_value_length(s).to_pylist()], np.int64)
+        flat = s.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        kinds, d1, d2 = (np.repeat(np.array(c.to_pylist(), kind), lengths) for c, kind in ((t, object), (a, np.float64), (b, np.float64)))
+        out = np.full(len(flat), np.nan)
+        for kind in {k for k in kinds if k is not None}:
+            mine = kinds == kind
+            rows, back = np.unique(np.stack([flat[mine], d1[mine], d2[mine]], axis=1), axis=0, return_inverse=True, equal_nan=False)
+            out[mine] = p_values(kind, *rows.T)[back.reshape(-1)]
+        offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
+        return pa.ListArray.from_arrays(offsets, pa.array(out, pa.float64(), mask=np.isnan(out)))
 
     run.__annotations__ = {"t": pa.Array, "s": pa.Array, "a": pa.Array, "b": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "double")(test, stat.cast("double"), df1.cast("double"), df2.cast("double"))
+    return F.arrow_udf(run, "array<double>")(test, stats.cast("array<double>"), df1.cast("double"), df2.cast("double"))

@@ -21,13 +21,16 @@ def strip_comments(text: Column) -> Column:
     return sub(text, (P.COMMENT, ""))
 
 
-def body_text(text: Column) -> Column:
-    """From the begin of the document on, without comments."""
-    bare = strip_comments(text)
+def _from_begin(bare: Column) -> Column:
     at = F.locate("\\begin{document}", bare)
     return F.when(at > 0, F.substring(bare, at, F.length(bare))).otherwise(bare)
 
 
+def body_text(text: Column) -> Column:
+    """From the begin of the document on, without comments."""
+    return _from_begin(strip_comments(text))
+
+
 def claim_plain(text: Column) -> Column:
     return sub(text, *P.CLAIM_PLAIN)
 
@@ -117,9 +120,47 @@ def matches(text: Column, pattern: str, groups: Sequence[str], inner: str | None
     return F.transform(raw, lambda m: F.struct(m.alias("raw"), *(F.regexp_extract(m, inner or pattern, i + 1).alias(g) for i, g in enumerate(groups))))
 
 
-def sentences(docs: DataFrame, text: Column, splitter: str) -> DataFrame:
-    """(doc_id, pos, s): one row per sentence."""
-    return docs.select("doc_id", F.posexplode(F.split(text, splitter, -1)).alias("pos", "s"))
+#: Forms of a manuscript that several checks read, each from one that stands before it.
+FLAVOURS = {"bare": ("text", strip_comments), "body": ("bare", lambda t: _from_begin(t)), "count": ("body", lambda t: sub(t, *P.COUNT_PLAIN)), "lines": ("body", lambda t: sub(t, (r"\\%", "%"))), "stat": ("text", stat_plain), "change": ("body", lambda t: sub(sub(t, (P.TABULAR_STRICT, " ")), *P.CHANGE_PLAIN))}
+
+
+def prepared(docs: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Manuscripts dealt by doc_id once, with their flavours as columns, for many checks to read; to be persisted.
+
+    All that checks group or join by is a document's own, so nothing is dealt again.
+    """
+    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = docs.repartition(n, "doc_id")
+    for name, (source, of) in FLAVOURS.items():
+        out = settled(out, **{f"flavour_{name}": of(F.col(source if source == "text" else f"flavour_{source}"))})
+    return out
+
+
+def flavour(docs: DataFrame, name: str, *keep: str) -> DataFrame:
+    """(doc_id, kept columns, t): a flavour of each manuscript, as prepared or else made here, once."""
+    if f"flavour_{name}" in docs.columns:
+        return docs.select("doc_id", *keep, F.col(f"flavour_{name}").alias("t"))
+    chain = [name]
+    while FLAVOURS[chain[-1]][0] != "text":
+        chain.append(FLAVOURS[chain[-1]][0])
+    out = docs.select("doc_id", *keep, F.col("text").alias("t")) if "text" not in keep else docs.select("doc_id", *keep).withColumn("t", F.col("text"))
+    for step in reversed(chain):
+        out = settled(out.withColumnRenamed("t", "__before"), t=FLAVOURS[step][1](F.col("__before"))).drop("__before")
+    return out
+
+
+def sentences(texts: DataFrame, splitter: str) -> DataFrame:
+    """(doc_id, pos, s): one row per sentence of texts(doc_id, t)."""
+    return each(texts, F.split("t", splitter, -1), "pos", "s", "doc_id")
+
+
+def each(df: DataFrame, array: Column, pos: str, item: str, *keep: str) -> DataFrame:
+    """One row for each element of an array that is computed once.
+
+    Where an array is exploded straight away, the optimiser adds a filter on its size, and computes it twice.
+    """
+    made = settled(df, each_of=array)
+    return made.select(*(keep or df.columns), F.posexplode("each_of").alias(pos, item))
 
 
 def window_text(text: Column, start: Column, end: Column) -> Column:

@@ -15,7 +15,7 @@ EPS = 1e-9
 
 
 def _count_sentences(docs: DataFrame) -> DataFrame:
-    return T.sentences(docs, T.count_plain(F.col("text")), P.SPLIT_COUNT)
+    return T.sentences(T.flavour(docs, "count"), P.SPLIT_COUNT)
 
 
 def _fractions(s: Column) -> Column:
@@ -27,7 +27,7 @@ def _fractions(s: Column) -> Column:
 @check("grimmer", 4)
 def percent_counts(docs: DataFrame) -> DataFrame:
     """k/n (p%): the percentage must be the count over the denominator, as printed."""
-    rows = _count_sentences(docs).select("doc_id", "pos", F.posexplode(_fractions(F.col("s"))).alias("i", "m")).select("doc_id", "pos", "i", "m.*")
+    rows = T.each(_count_sentences(docs).where(F.col("s").contains("%")), _fractions(F.col("s")), "i", "m", "doc_id", "pos").select("doc_id", "pos", "i", "m.*")
     k, p = (num(F.col(c)) for c in ("k", "p"))
     n = F.nullif(num(F.col("n")), F.lit(0.0))
     bad = rows.where((n > 0) & (k <= n) & (F.abs(100 * k / n - p) > half_unit(F.col("p")) + EPS))
@@ -51,10 +51,11 @@ def percent_denominators(docs: DataFrame) -> DataFrame:
     low = lambda m: F.ceil(num(m["k"]) * 100 / (num(m["p"]) + half_unit(m["p"])) - EPS)
     high = lambda m: F.floor(num(m["k"]) * 100 / F.greatest(num(m["p"]) - half_unit(m["p"]), F.lit(EPS)) + EPS)
     ranged = F.transform(pairs, lambda m: F.struct(m["k"].alias("k"), m["p"].alias("p"), low(m).alias("lo"), high(m).alias("hi")))
-    rows = _count_sentences(docs).where(F.size(_fractions(s)) == 0).select("doc_id", "pos", "s", ranged.alias("r")).where(F.size("r") >= 3)
+    rows = _count_sentences(docs).where(s.contains("%")).where(F.size(_fractions(s)) == 0)
+    rows = T.settled(rows, r=ranged).where(F.size("r") >= 3)
     rows = rows.where(~F.exists("r", lambda x: x["hi"] - x["lo"] >= P.WIDEST_RANGE))
     ends = lambda r: F.struct(F.array_max(F.transform(r, lambda x: x["lo"])).alias("lo"), F.array_min(F.transform(r, lambda x: x["hi"])).alias("hi"))
-    rows = rows.withColumn("all", ends(F.col("r"))).where(F.col("all.lo") > F.col("all.hi"))
+    rows = T.settled(rows, all=ends(F.col("r"))).where(F.col("all.lo") > F.col("all.hi"))
     each = rows.select("doc_id", "pos", "s", "r", F.posexplode("r").alias("i", "own")).withColumn("rest", ends(F.filter("r", lambda x, j: j != F.col("i"))))
     odd = each.where((F.col("rest.lo") <= F.col("rest.hi")) & ((F.col("own.lo") > F.col("rest.hi")) | (F.col("own.hi") < F.col("rest.lo"))))
     first = odd.groupBy("doc_id", "pos").agg(F.min_by(F.struct("s", "own", "rest"), "i").alias("f")).select("doc_id", "pos", "f.*")
@@ -85,8 +86,8 @@ def grimmer(docs: DataFrame) -> DataFrame:
     s = F.col("s")
     sizes = F.array_distinct(F.transform(T.matches(s, P.SAMPLE_SIZE, ("a", "b")), lambda m: F.nullif(num(F.when(m["a"] != "", m["a"]).otherwise(m["b"])), F.lit(0.0))))
     rows = _count_sentences(docs).where(s.rlike("(?i)" + P.INTEGER_SCALE + "|" + P.INTEGER_SCALE_ZH) & ~s.rlike(P.RUN_WORDS))
-    rows = rows.select("doc_id", "pos", "s", sizes.alias("sizes")).where((F.size("sizes") == 1) & F.get("sizes", F.lit(0)).between(2, P.LARGEST_GRIM_N))
-    hits = rows.select("doc_id", "pos", F.get("sizes", F.lit(0)).alias("n"), F.posexplode(T.matches(s, P.MEAN_SD, ("a", "b", "c", "d"))).alias("i", "m"))
+    rows = T.settled(rows, sizes=sizes).where((F.size("sizes") == 1) & F.get("sizes", F.lit(0)).between(2, P.LARGEST_GRIM_N))
+    hits = T.each(rows.select("doc_id", "pos", "s", F.get("sizes", F.lit(0)).alias("n")), T.matches(s, P.MEAN_SD, ("a", "b", "c", "d")), "i", "m", "doc_id", "pos", "n")
     hits = hits.select("doc_id", "pos", "i", "n", "m.raw", F.when(F.col("m.a") != "", F.col("m.a")).otherwise(F.col("m.c")).alias("mean"), F.when(F.col("m.a") != "", F.col("m.b")).otherwise(F.col("m.d")).alias("sd"))
     mean, sd, n = F.col("mean"), F.col("sd"), F.col("n")
     whole = F.floor((num(mean) + half_unit(mean)) * n + EPS) >= F.ceil((num(mean) - half_unit(mean)) * n - EPS)
@@ -108,10 +109,10 @@ def grim_possible(mean: Column, decimals: Column, n: Column) -> Column:
 @check("grim", 5)
 def grim(docs: DataFrame) -> DataFrame:
     """Means of N integers that no integer total gives; the mean may stand before N or after it."""
-    body = docs.select("doc_id", T.body_text(F.col("text")).alias("body"))
+    body = T.flavour(docs, "body").withColumnRenamed("t", "body")
     one = F.transform(T.found(F.col("body"), P.GRIM_MEAN_FIRST, ("mean", "tail", "n")), lambda m: F.struct(F.lit(0).alias("order"), m["start"].alias("start"), m["end"].alias("end"), m["raw"].alias("raw"), m["mean"].alias("mean"), m["n"].alias("n")))
     two = F.transform(T.found(F.col("body"), P.GRIM_SIZE_FIRST, ("n", "mean", "tail")), lambda m: F.struct(F.lit(1).alias("order"), m["start"].alias("start"), m["end"].alias("end"), m["raw"].alias("raw"), m["mean"].alias("mean"), m["n"].alias("n")))
-    rows = body.select("doc_id", "body", F.explode(F.concat(one, two)).alias("m")).select("doc_id", "m.*", T.window_text(F.col("body"), F.col("m.start") - 200, F.col("m.end") + 120).alias("near"))
+    rows = T.each(body.where(F.col("body").rlike(r"\b[nN]\s*=")), F.concat(one, two), "k", "m").select("doc_id", "m.*", T.window_text(F.col("body"), F.col("m.start") - 200, F.col("m.end") + 120).alias("near"))
     n, mean = F.nullif(num(F.col("n")), F.lit(0.0)), F.col("mean")
     bad = rows.where(F.col("near").rlike(P.U + "(?i)" + P.INTEGER_SCALE) & (n > 1) & (n <= P.LARGEST_GRIM_N)).where(~grim_possible(mean, places(mean), n))
     return findings(
@@ -123,9 +124,9 @@ def grim(docs: DataFrame) -> DataFrame:
 @check("consistency", 3)
 def compute_budget(docs: DataFrame) -> DataFrame:
     """Tasks times seeds times the hours of one against the stated training budget."""
-    body = T.body_text(F.col("text"))
-    first = lambda p: num(F.nullif(F.regexp_extract(body, p, 1), F.lit("")))
-    rows = docs.select("doc_id", first(P.BUDGET_UNIT).alias("g"), first(P.BUDGET_TASKS).alias("t"), first(P.BUDGET_SEEDS).alias("s"), first(P.BUDGET_TOTAL).alias("p"))
+    body = T.flavour(docs, "body").where(F.col("t").rlike("(?i)seed") & F.col("t").rlike("(?i)GPU")).withColumnRenamed("t", "body")
+    first = lambda p: num(F.nullif(F.regexp_extract("body", p, 1), F.lit("")))
+    rows = T.settled(body, g=first(P.BUDGET_UNIT), t=first(P.BUDGET_TASKS), s=first(P.BUDGET_SEEDS), p=first(P.BUDGET_TOTAL))
     product = F.col("t") * F.col("s") * F.col("g")
     off = F.abs(product - F.col("p")) / F.greatest(F.col("p"), F.lit(1.0))
     bad = rows.where((F.col("g") > 0) & (F.col("t") > 0) & (F.col("s") > 0) & (F.col("p") > 0) & (off > P.BUDGET_SLACK))
@@ -140,7 +141,7 @@ def compute_budget(docs: DataFrame) -> DataFrame:
 @check("consistency", 3)
 def product_totals(docs: DataFrame) -> DataFrame:
     """total things (a x b [x c]): the factors must multiply to the total."""
-    rows = docs.select("doc_id", F.posexplode(T.matches(T.body_text(F.col("text")), P.PRODUCT, ("total", "a", "b", "c"))).alias("i", "m")).select("doc_id", "i", "m.*")
+    rows = T.each(T.flavour(docs, "body"), T.matches(F.col("t"), P.PRODUCT, ("total", "a", "b", "c")), "i", "m", "doc_id").select("doc_id", "i", "m.*")
     factors = F.filter(F.array(F.col("a"), F.col("b"), F.col("c")), lambda x: x != "")
     product = F.aggregate(factors, F.lit(1.0), lambda acc, x: acc * num(x))
     total = with_suffix(F.col("total"))
@@ -160,9 +161,9 @@ def split_shares(docs: DataFrame) -> DataFrame:
 
     Each percentage goes to the nearest partition word within 20 characters, and a word keeps its first.
     """
-    body = docs.select("doc_id", T.body_text(F.col("text")).alias("body")).where(F.col("body").rlike(P.ESCAPED_PERCENT))
-    spots = body.select("doc_id", "body", F.posexplode(T.found(F.col("body"), P.PARTITION)).alias("i", "m"))
-    wins = spots.select("doc_id", "i", T.window_text(F.col("body"), F.col("m.start") - 40, F.col("m.start") + 130).alias("w")).where(~F.col("w").rlike(P.PARTITION_SKIP))
+    body = T.flavour(docs, "body").withColumnRenamed("t", "body").where(F.col("body").rlike(P.ESCAPED_PERCENT))
+    spots = T.each(body, T.found(F.col("body"), P.PARTITION), "i", "m")
+    wins = T.settled(spots, w=T.window_text(F.col("body"), F.col("m.start") - 40, F.col("m.start") + 130)).select("doc_id", "i", "w").where(~F.col("w").rlike(P.PARTITION_SKIP))
     words = F.transform(T.found(F.col("w"), P.PARTITION_WORD), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.substring(F.lower(m["raw"]), 1, 3).alias("word")))
     shares = T.found(F.col("w"), P.ESCAPED_PERCENT, ("value",))
     wins = T.settled(wins.where(F.col("w").rlike(P.ESCAPED_PERCENT)), words=words, shares=shares)
@@ -196,14 +197,14 @@ def _metric(metric: str) -> str:
 @check("consistency", 3)
 def cross_sections(docs: DataFrame) -> DataFrame:
     """A headline metric given three or more values without a qualifier nearby."""
-    body = docs.select("doc_id", T.body_text(F.col("text")).alias("body"))
+    body = T.flavour(docs, "body").withColumnRenamed("t", "body")
 
     def values(m: str) -> Column:
         return F.transform(F.regexp_extract_all("body", F.lit(_metric(m)), F.lit(2)), lambda v: F.struct(F.lit(m).alias("metric"), v.alias("v")))
 
     each = F.concat(*map(values, P.METRICS))
     named = body.where(F.col("body").rlike("|".join(P.METRICS)))
-    rows = named.select("doc_id", F.explode(each).alias("x")).select("doc_id", "x.*").where(~num(F.col("v")).isin(0.0, 100.0))
+    rows = T.each(named, each, "k", "x", "doc_id").select("doc_id", "x.*").where(~num(F.col("v")).isin(0.0, 100.0))
     by = rows.groupBy("doc_id", "metric").agg(F.array_sort(F.collect_set("v")).alias("vs")).where(F.size("vs") >= 3)
     rank = F.array_position(F.array(*map(F.lit, P.METRICS)), F.col("metric"))
     return findings(
@@ -216,7 +217,7 @@ def cross_sections(docs: DataFrame) -> DataFrame:
 def relative_changes(docs: DataFrame) -> DataFrame:
     """One percentage that is a change beside one pair of numbers: some usual reading must give it."""
     s = F.col("s")
-    rows = T.sentences(docs, T.change_prose(F.col("text")), P.SPLIT_PROSE).where(s.contains("%") & s.rlike(P.CHANGE_PAIR))
+    rows = T.sentences(T.flavour(docs, "change"), P.SPLIT_PROSE).where(s.contains("%") & s.rlike(P.CHANGE_PAIR))
     rows = T.settled(rows, ps=T.found(s, P.PERCENT, ("v",), r"(\d+(?:\.\d+)?)\s*%"), pairs=T.found(s, P.CHANGE_PAIR)).where((F.size("pairs") == 1) & (F.size("ps") > 0))
     after = lambda m: F.substring(s, m["end"] + 1, F.length(s))
     is_change = lambda m: (after(m).rlike(P.CHANGE_AFTER) | T.window_text(s, m["start"] - P.CHANGE_LOOK_BACK, m["start"]).rlike(P.CHANGE_BEFORE)) & ~after(m).rlike(P.CHANGE_SHARE)
@@ -245,7 +246,7 @@ def relative_changes(docs: DataFrame) -> DataFrame:
 @check("relative_change", 2)
 def same_changes(docs: DataFrame) -> DataFrame:
     """One phrase for a change quoted with two percentages."""
-    rows = T.sentences(docs, T.change_prose(F.col("text")), P.SPLIT_PROSE).select("doc_id", "pos", "s", F.posexplode(T.matches(F.col("s"), P.CHANGE_PHRASE, ("v", "words"))).alias("i", "m"))
+    rows = T.each(T.sentences(T.flavour(docs, "change"), P.SPLIT_PROSE).where(F.col("s").contains("%")), T.matches(F.col("s"), P.CHANGE_PHRASE, ("v", "words")), "i", "m")
     rows = rows.withColumn("phrase", F.array_join(F.split(F.trim(F.replace(F.lower("m.words"), F.lit("-"), F.lit(" "))), r"\s+"), " ")).where(~F.split_part("phrase", F.lit(" "), F.lit(1)).isin(*P.GENERIC_FIRST))
     order = F.col("pos") * 1000 + F.col("i")
     each = rows.groupBy("doc_id", "phrase", F.col("m.v").alias("v")).agg(F.min(order).alias("at"), F.min_by("s", order).alias("s"))
@@ -257,12 +258,16 @@ def same_changes(docs: DataFrame) -> DataFrame:
     )
 
 
+def _table_decimals(docs: DataFrame) -> DataFrame:
+    """(doc_id, d): the decimals of tabulars, one after another."""
+    blocks = T.each(T.flavour(docs, "bare"), F.regexp_extract_all("t", F.lit(P.TABULAR_STRICT), F.lit(0)), "k", "b", "doc_id")
+    return T.each(blocks, F.regexp_extract_all(T.sub(F.col("b"), *P.TYPOGRAPHY), F.lit(P.TABLE_DECIMAL), F.lit(0)), "i", "d", "doc_id")
+
+
 @check("benford", 10)
 def terminal_digits(docs: DataFrame) -> DataFrame:
     """Last digits of table decimals far from even, by chi-square over ten digits."""
-    blocks = F.regexp_extract_all(T.strip_comments(F.col("text")), F.lit(P.TABULAR_STRICT), F.lit(0))
-    all_ = F.flatten(F.transform(blocks, lambda b: F.regexp_extract_all(T.sub(b, *P.TYPOGRAPHY), F.lit(P.TABLE_DECIMAL), F.lit(0))))
-    rows = docs.select("doc_id", F.explode(all_).alias("d")).groupBy("doc_id", F.right("d", F.lit(1)).alias("digit")).agg(F.count(F.lit(1)).alias("n"))
+    rows = _table_decimals(docs).groupBy("doc_id", F.right("d", F.lit(1)).alias("digit")).agg(F.count(F.lit(1)).alias("n"))
     by = rows.groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
     chi = 10 * F.col("squares") / F.col("n") - F.col("n")
     bad = by.withColumn("chi", chi).where((F.col("n") >= P.DIGIT_LEAST) & (F.col("chi") > P.DIGIT_LIMIT))
@@ -271,9 +276,7 @@ def terminal_digits(docs: DataFrame) -> DataFrame:
 
 def leading_digits(docs: DataFrame) -> DataFrame:
     """(doc_id, n, chi_square) of table numbers' first non-zero digits against Benford's law; a measure, not a check."""
-    blocks = F.regexp_extract_all(T.strip_comments(F.col("text")), F.lit(P.TABULAR_STRICT), F.lit(0))
-    all_ = F.flatten(F.transform(blocks, lambda b: F.regexp_extract_all(T.sub(b, *P.TYPOGRAPHY), F.lit(P.TABLE_DECIMAL), F.lit(0))))
-    counts = docs.select("doc_id", F.explode(all_).alias("d")).select("doc_id", F.regexp_extract("d", "[1-9]", 0).alias("digit")).where("digit <> ''").groupBy("doc_id", "digit").agg(F.count(F.lit(1)).alias("o"))
+    counts = _table_decimals(docs).select("doc_id", F.regexp_extract("d", "[1-9]", 0).alias("digit")).where("digit <> ''").groupBy("doc_id", "digit").agg(F.count(F.lit(1)).alias("o"))
     share = F.log10(1 + 1 / F.col("digit").cast("double"))
     # Digits that do not occur add their expected count; all expected counts add up to n.
     by = counts.groupBy("doc_id").agg(F.sum("o").alias("n"), F.sum(F.col("o") * F.col("o") / share).alias("x"))

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
-from ..functions.distributions import p_column
+from ..functions.distributions import p_columns
 from ..functions.numbers import half_unit, num, p_text
 from .base import check, findings, say, snippet
 
 
 def _sentences(docs: DataFrame) -> DataFrame:
     """Sentences of the whole text, preamble and comments included."""
-    return T.sentences(docs, T.stat_plain(F.col("text")), P.SPLIT_COUNT)
+    return T.sentences(T.flavour(docs, "stat"), P.SPLIT_COUNT)
 
 
 def _filled(*tokens: Column) -> Column:
@@ -24,7 +24,8 @@ def _filled(*tokens: Column) -> Column:
 @check("stat_recompute", 6)
 def p_values(docs: DataFrame) -> DataFrame:
     """A p value recomputed from the statistic printed before it, over the range that rounding leaves."""
-    rows = _sentences(docs).where(~F.col("s").rlike(P.STAT_SKIP)).select("doc_id", "pos", F.posexplode(T.matches(F.col("s"), P.TEST_RESULT, P.TEST_GROUPS)).alias("i", "m"))
+    said = _sentences(docs).where(F.col("s").contains("=") & F.col("s").rlike(r"\b[pP]\s*[=<>]")).where(~F.col("s").rlike(P.STAT_SKIP))
+    rows = T.each(said, T.matches(F.col("s"), P.TEST_RESULT, P.TEST_GROUPS), "i", "m", "doc_id", "pos")
     m = rows.select("doc_id", "pos", "i", "m.*")
     test = F.when(F.col("t") != "", "t").when(F.col("f") != "", "F").when(F.col("chi2") != "", "chi2").when(F.col("r") != "", "r").when(F.col("z") != "", "z").otherwise("bare")
     m = m.select(
@@ -35,8 +36,8 @@ def p_values(docs: DataFrame) -> DataFrame:
     low = F.greatest(F.col("x") - F.col("hx"), F.lit(0.0))
     high = F.when(F.col("test") == "r", F.least(F.col("x") + F.col("hx"), F.lit(0.999999))).otherwise(F.col("x") + F.col("hx"))
     kind = F.when(F.col("test") == "bare", "z").otherwise(F.col("test"))
-    m = m.withColumns({"pa": p_column(kind, low, F.col("df1"), F.col("df2")), "pb": p_column(kind, high, F.col("df1"), F.col("df2")), "mid": p_column(kind, F.col("x"), F.col("df1"), F.col("df2"))})
-    m = m.where(F.col("pa").isNotNull()).withColumns({"lo": F.least("pa", "pb"), "hi": F.greatest("pa", "pb")})
+    m = m.withColumn("ps", p_columns(kind, F.array(low, high, F.col("x")), F.col("df1"), F.col("df2"))).where(F.get("ps", F.lit(0)).isNotNull())
+    m = m.withColumns({"lo": F.array_min(F.slice("ps", 1, 2)), "hi": F.array_max(F.slice("ps", 1, 2)), "mid": F.get("ps", F.lit(2))})
     p, lo, hi, op, bare = F.col("p"), F.col("lo"), F.col("hi"), F.col("op"), F.col("test") == "bare"
     agrees = F.when(op == "=", (lo <= p + F.col("hp")) & (hi >= p - F.col("hp"))).when(op == "<", lo < p).otherwise(hi > p)
     said = F.when(op == "=", p < P.ALPHA).when(op == "<", p <= P.ALPHA).otherwise(F.lit(False))
@@ -57,7 +58,8 @@ def p_values(docs: DataFrame) -> DataFrame:
 @check("stat_recompute", 6)
 def intervals(docs: DataFrame) -> DataFrame:
     """An estimate outside its interval, or else an interval and a p value that disagree on significance."""
-    rows = _sentences(docs).where(~F.col("s").rlike(P.STAT_SKIP)).select("doc_id", "pos", F.posexplode(T.matches(F.col("s"), P.ESTIMATE, ("kind", "e", "l", "h", "op", "p"))).alias("i", "m")).select("doc_id", "pos", "i", "m.*")
+    said = _sentences(docs).where(F.col("s").rlike("(?i)CI|confidence interval|credible interval")).where(~F.col("s").rlike(P.STAT_SKIP))
+    rows = T.each(said, T.matches(F.col("s"), P.ESTIMATE, ("kind", "e", "l", "h", "op", "p")), "i", "m", "doc_id", "pos").select("doc_id", "pos", "i", "m.*")
     rows = rows.withColumns({"est": num(F.col("e")), "lo": num(F.col("l")), "hi": num(F.col("h")), "ratio": F.trim("kind").rlike(f"(?i)^{P.RATIO}$"), "slack": F.greatest(half_unit(F.col("e")), half_unit(F.col("l")), half_unit(F.col("h")))})
     est, lo, hi, slack, ratio, op, p = (F.col(c) for c in ("est", "lo", "hi", "slack", "ratio", "op", "p"))
     rows = rows.where((lo <= hi) & ~(ratio & ((lo <= 0) | (est <= 0))))
@@ -81,7 +83,7 @@ def intervals(docs: DataFrame) -> DataFrame:
 @check("stat_recompute", 6)
 def effect_sizes(docs: DataFrame) -> DataFrame:
     """Partial eta squared follows from F and its degrees of freedom; plain eta squared is at most that."""
-    rows = _sentences(docs).select("doc_id", "pos", F.posexplode(T.matches(F.col("s"), P.ETA, ("d1", "d2", "f", "kind", "e"))).alias("i", "m")).select("doc_id", "pos", "i", "m.*")
+    rows = T.each(_sentences(docs).where(F.col("s").contains("eta")), T.matches(F.col("s"), P.ETA, ("d1", "d2", "f", "kind", "e")), "i", "m", "doc_id", "pos").select("doc_id", "pos", "i", "m.*")
     d1, d2, f, e = (num(F.col(c)) for c in ("d1", "d2", "f", "e"))
     share = lambda x: x * d1 / F.nullif(x * d1 + d2, F.lit(0.0))
     low, high, h = share(F.greatest(f - half_unit(F.col("f")), F.lit(0.0))), share(f + half_unit(F.col("f"))), half_unit(F.col("e"))
@@ -95,14 +97,14 @@ def effect_sizes(docs: DataFrame) -> DataFrame:
 @check("pvalue", 11)
 def p_clusters(docs: DataFrame) -> DataFrame:
     """Three or more printed p values just below 0.05."""
-    near = F.filter(F.regexp_extract_all(T.body_text(F.col("text")), F.lit(P.P_PRINTED), F.lit(1)), lambda p: (num(p) >= P.CLUSTER_FROM) & (num(p) < P.CLUSTER_TO))
-    bad = docs.select("doc_id", near.alias("ps")).where(F.size("ps") >= P.CLUSTER_LEAST)
+    near = F.filter(F.regexp_extract_all("t", F.lit(P.P_PRINTED), F.lit(1)), lambda p: (num(p) >= P.CLUSTER_FROM) & (num(p) < P.CLUSTER_TO))
+    bad = T.settled(T.flavour(docs, "body"), ps=near).where(F.size("ps") >= P.CLUSTER_LEAST)
     return findings(bad, "pvalue", F.lit(0), "pvalue_clustering_below_0_05", "minor", F.lit("reported p-values"), say("%d p values stand just below 0.05: %s.", F.size("ps"), F.array_join("ps", ", ")), "Report exact values and the registration.", F.col("ps"), 0.4)
 
 
 def _pairs(docs: DataFrame, pattern: str) -> DataFrame:
-    rows = docs.select("doc_id", F.posexplode(T.matches(T.body_text(F.col("text")), pattern, ("stat", "p"))).alias("i", "m")).select("doc_id", "i", "m.*")
-    return rows.withColumn("calc", p_column(F.lit("z"), num(F.col("stat")), F.lit(None), F.lit(None))).where((num(F.col("p")) > 0) & (F.col("calc") > 0))
+    rows = T.each(T.flavour(docs, "body"), T.matches(F.col("t"), pattern, ("stat", "p")), "i", "m", "doc_id").select("doc_id", "i", "m.*")
+    return rows.withColumn("calc", F.get(p_columns(F.lit("z"), F.array(num(F.col("stat"))), F.lit(None), F.lit(None)), F.lit(0))).where((num(F.col("p")) > 0) & (F.col("calc") > 0))
 
 
 @check("pvalue", 11, default=False)

@@ -16,12 +16,15 @@ _DEFINITION = P.U + P.PY_DEFINITION
 _BODY_START = P.U + "(?im)" + P.PY_BODY_START
 
 
+HITS = "array<struct<seq:int,raw:string,key:string,why:string,spot:string,near:string>>"
+
+
 @check("text_hygiene", 9)
 def residue(docs: DataFrame) -> DataFrame:
     """Chat replies and placeholders; a text is reported once, and a reason once on a line."""
     # One alternation finds the few texts that the patterns are then applied to one by one.
     any_ = P.U + "(?im)" + "|".join(f"(?:{p})" for p, _ in P.RESIDUE)
-    body = docs.select("doc_id", T.hygiene_lines(F.col("text")).alias("b")).where(F.col("b").rlike(any_))
+    body = T.flavour(docs, "lines").withColumnRenamed("t", "b").where(F.col("b").rlike(any_))
 
     def of(rank: int, pattern: str, why: str) -> Column:
         def row(m: Column) -> Column:
@@ -36,17 +39,23 @@ def residue(docs: DataFrame) -> DataFrame:
 
         return F.transform(T.found(F.col("b"), P.U + "(?im)" + pattern), row)
 
-    hits = body.withColumn("hits", F.flatten(F.array(*(of(i, p, why) for i, (p, why) in enumerate(P.RESIDUE))))).where(F.size("hits") > 0)
+    # A projection with all patterns would be too large a method to compile: a few at a time.
+    none = F.array().cast(HITS)
+    hits = body
+    parts = [list(enumerate(P.RESIDUE))[i : i + 6] for i in range(0, len(P.RESIDUE), 6)]
+    for k, part in enumerate(parts):
+        hits = T.settled(hits, **{f"hits{k}": F.flatten(F.array(*(F.when(F.col("b").rlike(P.U + "(?im)" + p), of(i, p, why)).otherwise(none) for i, (p, why) in part)))})
+    hits = T.settled(hits, hits=F.concat(*(f"hits{k}" for k in range(len(parts))))).select("doc_id", "hits")
     # In order: a hit stays if neither its text nor its reason on its line is among those that stayed before.
-    none = F.array().cast("array<string>")
-    start = F.struct(none.alias("keys"), none.alias("spots"), F.array().cast("array<bigint>").alias("kept"))
+    empty = F.array().cast("array<string>")
+    start = F.struct(empty.alias("keys"), empty.alias("spots"), F.array().cast("array<bigint>").alias("kept"))
 
     def step(s: Column, h: Column) -> Column:
         new = ~F.array_contains(s["keys"], h["key"]) & ~F.array_contains(s["spots"], h["spot"])
         return F.when(new, F.struct(F.array_append(s["keys"], h["key"]).alias("keys"), F.array_append(s["spots"], h["spot"]).alias("spots"), F.array_append(s["kept"], h["seq"].cast("long")).alias("kept"))).otherwise(s)
 
-    kept = hits.select("doc_id", "hits", F.aggregate("hits", start, step)["kept"].alias("kept"))
-    rows = kept.select("doc_id", F.explode(F.filter("hits", lambda h: F.array_contains(F.col("kept"), h["seq"].cast("long")))).alias("h")).select("doc_id", "h.*")
+    kept = T.settled(hits, kept=F.aggregate("hits", start, step)["kept"])
+    rows = T.each(kept, F.filter("hits", lambda h: F.array_contains(F.col("kept"), h["seq"].cast("long"))), "k", "h", "doc_id").select("doc_id", "h.*")
     return findings(
         rows, "text_hygiene", "seq", "assistant_residue", "major", F.substring("raw", 1, 80), say("The text holds %s: \"...%s...\"", F.col("why"), F.trim("near")),
         "Delete it, or put the real content in its place.", None, 0.9,
@@ -57,7 +66,7 @@ def residue(docs: DataFrame) -> DataFrame:
 def tortured(docs: DataFrame) -> DataFrame:
     """Fixed terms replaced word by word, counted by phrase in any case of letters."""
     terms = F.create_map(*(F.lit(x) for k, v in P.TORTURED.items() for x in (k.lower(), v)))
-    rows = docs.select("doc_id", F.posexplode(F.regexp_extract_all(T.hygiene_lines(F.col("text")), F.lit(_TORTURED), F.lit(1))).alias("i", "raw"))
+    rows = T.each(T.flavour(docs, "lines"), F.regexp_extract_all("t", F.lit(_TORTURED), F.lit(1)), "i", "raw", "doc_id")
     by = rows.groupBy("doc_id", F.lower("raw").alias("phrase")).agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("i"))
     term = F.element_at(terms, F.col("phrase"))
     return findings(by, "text_hygiene", F.lit(10_000_000_000) + F.col("i"), "tortured_phrase", "minor", F.col("phrase"), say("\"%s\" (%d times) stands for \"%s\".", F.col("phrase"), F.col("n"), term), say("Write \"%s\".", term), None, 0.85)
@@ -71,9 +80,11 @@ def _in_order(letters: Column, abbreviation: Column) -> Column:
 
 def _definitions(docs: DataFrame) -> DataFrame:
     """(doc_id, b, abbr, at, tail): abbreviations with the place of each definition and the words it abbreviates."""
-    whole = docs.select("doc_id", T.body_text(F.col("text")).alias("b")).withColumn("start", F.get(T.found(F.col("b"), _BODY_START), F.lit(0))["start"])
-    body = whole.select("doc_id", T.sub(F.substring("b", F.coalesce("start", F.lit(0)) + 1, F.length("b")), (P.U + P.PY_REFERENCE_ARGS, " ")).alias("b"))
-    rows = body.select("doc_id", "b", F.posexplode(T.found(F.col("b"), _DEFINITION, ("words", "abbr"))).alias("i", "m")).select("doc_id", "b", "i", "m.*")
+    # A definition needs a bracket; without one nothing is looked for.
+    begin = F.regexp_instr("t", F.lit(_BODY_START))
+    whole = T.settled(T.flavour(docs, "body").where(F.col("t").contains("(")), begin=F.greatest(begin, F.lit(1)))
+    body = T.settled(whole, b=T.sub(F.substring("t", F.col("begin"), F.length("t")), (P.U + P.PY_REFERENCE_ARGS, " "))).select("doc_id", "b")
+    rows = T.each(body, T.found(F.col("b"), _DEFINITION, ("words", "abbr")), "i", "m").select("doc_id", "b", "i", "m.*")
     core = T.sub(F.col("abbr"), ("s+$", ""))
     letters = F.transform(F.filter(F.split("words", r"[\s\-]+"), lambda w: w != ""), lambda w: F.lower(F.substring(w, 1, 1)))
     rows = rows.where(~F.col("abbr").isin(*P.ABBREVIATION_SKIP) & _in_order(letters, F.lower(core)))
@@ -107,11 +118,13 @@ def double_abbreviations(docs: DataFrame) -> DataFrame:
 
 def statements(docs: DataFrame) -> DataFrame:
     """(doc_id, statement, found, quote): the usual declarations, present or not."""
-    flat = docs.select("doc_id", T.statement_flat(F.col("text")).alias("t"))
+    flat = T.settled(docs.select("doc_id", "text"), t=T.statement_flat(F.col("text"))).select("doc_id", "t")
     rows = []
     for name, pattern in P.STATEMENTS.items():
         rx = P.U + ("" if name == "reporting_guideline" else "(?i)") + pattern
-        at, raw = F.regexp_instr("t", F.lit(rx)), F.regexp_extract("t", "(" + rx + ")" if "(?i)" not in rx else rx.replace("(?U)(?i)", "(?U)(?i)(", 1) + ")", 1)
-        quote = F.when(at > 0, F.trim(T.window_text(F.col("t"), at - 81, at - 1 + F.length(raw) + 120))).otherwise("")
-        rows.append(F.struct(F.lit(name).alias("statement"), (at > 0).alias("found"), quote.alias("quote")))
-    return flat.withColumn("x", F.array(*rows)).select("doc_id", F.explode("x").alias("x")).select("doc_id", "x.*")
+        rows.append(F.struct(F.lit(name).alias("statement"), F.regexp_instr("t", F.lit(rx)).alias("at"), F.lit(rx).alias("rx")))
+    # The place of each, once; what stands there is read only where something does.
+    placed = T.settled(flat, xs=F.array(*rows)).select("doc_id", "t", F.explode("xs").alias("x")).select("doc_id", "t", "x.*")
+    raw = F.regexp_substr(F.substring("t", F.col("at"), F.lit(400)), F.col("rx"))
+    quote = F.when(F.col("at") > 0, F.trim(T.window_text(F.col("t"), F.col("at") - 81, F.col("at") - 1 + F.length(raw) + 120))).otherwise("")
+    return placed.select("doc_id", "statement", (F.col("at") > 0).alias("found"), quote.alias("quote"))
