@@ -91,14 +91,14 @@ def display(text: Column) -> Column:
     return F.trim(sub(text, *P.DISPLAY))
 
 
-def found(text: Column, pattern: str, groups: Sequence[str] = (), inner: str | None = None) -> Column:
+def found(text: Column, pattern: str | Column, groups: Sequence[str] = (), inner: str | None = None) -> Column:
     """array<struct<start, end, raw, groups...>>: all matches with places from 0.
 
     Places follow from the pieces between matches, so matches must not be empty.  Groups are taken from
     each match by itself; `inner` is the pattern for that where `pattern` looks beyond the match.
     """
     pieces = F.split(text, pattern, -1)
-    raw = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    raw = F.regexp_extract_all(text, pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(0))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,raw:string>>").alias("out"))
 
     def step(s: Column, z: Column) -> Column:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,9 +18,6 @@ _DEFINITION = P.U + P.PY_DEFINITION
 _BODY_START = P.U + "(?im)" + P.PY_BODY_START
 
 
-HITS = "array<struct<seq:int,raw:string,key:string,why:string,spot:string,near:string>>"
-
-
 @check("text_hygiene", 9)
 def residue(docs: DataFrame) -> DataFrame:
     """Chat replies and placeholders; a text is reported once, and a reason once on a line."""
@@ -26,26 +25,23 @@ def residue(docs: DataFrame) -> DataFrame:
     any_ = P.U + "(?im)" + "|".join(f"(?:{p})" for p, _ in P.RESIDUE)
     body = T.flavour(docs, "lines").withColumnRenamed("t", "b").where(F.col("b").rlike(any_))
 
-    def of(rank: int, pattern: str, why: str) -> Column:
-        def row(m: Column) -> Column:
-            before = T.window_text(F.col("b"), F.lit(0), m["start"])
-            line = F.struct((m["start"] - F.locate("\n", F.reverse(before))).alias("from"), F.call_function("locate", F.lit("\n"), F.col("b"), m["end"] + 1).alias("to"))
-            near = T.window_text(F.col("b"), m["start"] - 60, m["end"] + 60)
-            first = F.when(F.locate("\n", F.reverse(before)) == 0, F.lit(-1)).otherwise(line["from"])
-            return F.struct(
-                (F.lit(rank * 100_000_000) + m["start"]).alias("seq"), m["raw"].alias("raw"), F.lower(m["raw"]).alias("key"), F.lit(why).alias("why"),
-                F.concat_ws("|", F.lit(why), first.cast("string"), line["to"].cast("string")).alias("spot"), near.alias("near"),
-            )
-
-        return F.transform(T.found(F.col("b"), P.U + "(?im)" + pattern), row)
-
-    # A projection with all patterns would be too large a method to compile: a few at a time.
-    none = F.array().cast(HITS)
-    hits = body
-    parts = [list(enumerate(P.RESIDUE))[i : i + 6] for i in range(0, len(P.RESIDUE), 6)]
-    for k, part in enumerate(parts):
-        hits = T.settled(hits, **{f"hits{k}": F.flatten(F.array(*(F.when(F.col("b").rlike(P.U + "(?im)" + p), of(i, p, why)).otherwise(none) for i, (p, why) in part)))})
-    hits = T.settled(hits, hits=F.concat(*(f"hits{k}" for k in range(len(parts))))).select("doc_id", "hits")
+    table = F.array(*(F.struct(F.lit(i).alias("rank"), F.lit(P.U + "(?im)" + p).alias("rx"), F.lit(why).alias("why")) for i, (p, why) in enumerate(P.RESIDUE)))
+
+    def row(p: Column, m: Column) -> Column:
+        before = T.window_text(F.col("b"), F.lit(0), m["start"])
+        back = F.locate("\n", F.reverse(before))
+        first = F.when(back == 0, F.lit(-1)).otherwise(m["start"] - back)
+        last = F.call_function("locate", F.lit("\n"), F.col("b"), m["end"] + 1)
+        return F.struct(
+            (p["rank"] * 100_000_000 + m["start"]).alias("seq"), m["raw"].alias("raw"), F.lower(m["raw"]).alias("key"), p["why"].alias("why"),
+            F.concat_ws("|", p["why"], first.cast("string"), last.cast("string")).alias("spot"), T.window_text(F.col("b"), m["start"] - 60, m["end"] + 60).alias("near"),
+        )
+
+    # The patterns that a text has, as rows; then their places in it.
+    held = body.select("doc_id", "b", F.explode(table).alias("p")).where(F.rlike("b", F.col("p.rx")))
+    spots = T.settled(held, ms=T.found(F.col("b"), F.col("p.rx")))
+    placed = T.settled(spots, hits=F.transform("ms", lambda m: row(F.col("p"), m))).select("doc_id", "p.rank", "hits")
+    hits = placed.groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("rank", "hits"))), lambda x: x["hits"])).alias("hits"))
     # In order: a hit stays if neither its text nor its reason on its line is among those that stayed before.
     empty = F.array().cast("array<string>")
     start = F.struct(empty.alias("keys"), empty.alias("spots"), F.array().cast("array<bigint>").alias("kept"))
@@ -119,10 +115,14 @@ def double_abbreviations(docs: DataFrame) -> DataFrame:
 def statements(docs: DataFrame) -> DataFrame:
     """(doc_id, statement, found, quote): the usual declarations, present or not."""
     flat = T.settled(docs.select("doc_id", "text"), t=T.statement_flat(F.col("text"))).select("doc_id", "t")
+    # Letters that patterns take for others in any case of letters are written as those.
+    flat = T.settled(flat, low=F.lower(F.translate("t", "İſ", "is")))
     rows = []
     for name, pattern in P.STATEMENTS.items():
         rx = P.U + ("" if name == "reporting_guideline" else "(?i)") + pattern
-        rows.append(F.struct(F.lit(name).alias("statement"), F.regexp_instr("t", F.lit(rx)).alias("at"), F.lit(rx).alias("rx")))
+        text = F.col("t" if name == "reporting_guideline" else "low")
+        may = reduce(or_, (text.contains(a) for a in P.STATEMENT_ANCHORS[name]))
+        rows.append(F.struct(F.lit(name).alias("statement"), F.when(may, F.regexp_instr("t", F.lit(rx))).otherwise(0).alias("at"), F.lit(rx).alias("rx")))
     # The place of each, once; what stands there is read only where something does.
     placed = T.settled(flat, xs=F.array(*rows)).select("doc_id", "t", F.explode("xs").alias("x")).select("doc_id", "t", "x.*")
     raw = F.regexp_substr(F.substring("t", F.col("at"), F.lit(400)), F.col("rx"))

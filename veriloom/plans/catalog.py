@@ -56,6 +56,6 @@ CATEGORIES = {
 }
 
 LABELS = {
-    "en": {"title": "Check report", "first": "change a conclusion", "major": "worth correcting", "minor": "minor", "gaps": "not verified", "where": "Where", "quote": "Passage", "evidence": "Evidence", "calculation": "Calculation", "fix": "Correction", "statements": "Declarations"},
-    "zh": {"title": "核查报告", "first": "影响结论", "major": "值得更正", "minor": "次要", "gaps": "未核实", "where": "位置", "quote": "原文", "evidence": "依据", "calculation": "计算", "fix": "更正", "statements": "声明"},
+    "en": {"title": "Check report", "first": "change a conclusion", "major": "worth correcting", "minor": "minor", "gaps": "not verified", "where": "Where", "quote": "Passage", "evidence": "Evidence", "calculation": "Calculation", "fix": "Correction", "statements": "Declarations", "summary": "Review", "guideline": "Guideline", "dismissed": "Dismissed", "references": "References", "context": "Context", "yes": "yes", "no": "no"},
+    "zh": {"title": "核查报告", "first": "影响结论", "major": "值得更正", "minor": "次要", "gaps": "未核实", "where": "位置", "quote": "原文", "evidence": "依据", "calculation": "计算", "fix": "更正", "statements": "声明", "summary": "评审", "guideline": "规范", "dismissed": "已排除", "references": "参考文献", "context": "上下文", "yes": "有", "no": "无"},
 }

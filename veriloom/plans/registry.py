@@ -355,15 +355,6 @@ ORACLES["statements"] = " UNION ALL ".join(
 
 
 # --- flavours ---
-def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.regexp_replace("text", "[^ -~\n]", "x").alias("text"))
-    return docs.select("doc_id", F.size(F.split("text", P.SPLIT_COUNT, -1)).cast("long").alias("sentences"))
-
-
-QUERIES["sentence_counts"] = sentence_counts
-ORACLES["sentence_counts"] = r"SELECT doc_id, (1 + len(regexp_extract_all(regexp_replace(text, '[^ -~\n]', 'x', 'g'), '[.!?;]\s+[A-Z(\[]')))::BIGINT AS sentences FROM documents"
-
-
 def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _base(spark, sf_dir, "SELECT p_partkey AS doc_id, p_size AS n FROM {part}")
     return docs.select("doc_id", T.language(F.concat(F.repeat(F.lit("研究"), F.col("n") * 4), F.repeat(F.lit("abcde "), F.col("n") * F.col("n")))).alias("language"))

@@ -222,11 +222,16 @@ def manuscripts(spark: SparkSession, path: str) -> DataFrame:
 def package_files(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, rel_path, ext, size, content): files of each manuscript's released package, as text.
 
-    The package is the first of companion/, code/ and the folder itself that holds results/.
+    The package is the first of companion/, code/, the manuscript's folder, the folder above it and the companion/ there
+    that holds results/; the folder above counts where the main file lies in a sub-folder of the manuscript's own.
     """
     rows = files(spark, path).where(F.col("rel_path").contains("/"))
-    holds = rows.withColumn("base", F.regexp_extract("rel_path", "^(companion/|code/|)results/", 1)).where(F.col("rel_path").rlike("^(companion/|code/|)results/"))
-    base = holds.groupBy("root").agg(F.min_by("base", F.array_position(F.array(F.lit("companion/"), F.lit("code/"), F.lit("")), F.col("base"))).alias("base"))
+    mains = manuscripts(spark, path).select(F.split_part("path", F.lit("/"), F.lit(1)).alias("root"), F.regexp_replace(F.regexp_replace("path", "^[^/]*/?", ""), "[^/]*$", "").alias("folder"))
+    above = F.regexp_replace("folder", "[^/]*/$", "")
+    places = F.array_distinct(F.array(F.concat("folder", F.lit("companion/")), F.concat("folder", F.lit("code/")), F.col("folder"), above, F.concat(above, F.lit("companion/")), F.lit("companion/"), F.lit("code/"), F.lit("")))
+    near = mains.select("root", F.posexplode(places).alias("rank", "base"))
+    holds = rows.join(near, "root").where(F.col("rel_path").startswith(F.concat("base", F.lit("results/"))))
+    base = holds.groupBy("root").agg(F.min_by("base", "rank").alias("base"))
     mine = rows.join(base, "root").where(F.col("rel_path").startswith(F.col("base")))
     rel = F.substring(F.col("rel_path"), F.length("base") + 1, F.length("rel_path"))
     return mine.select(F.xxhash64("root").alias("doc_id"), rel.alias("rel_path"), "ext", "size", F.decode("data", "UTF-8").alias("content"))

@@ -22,6 +22,8 @@ def check_arrivals(stream: DataFrame, out: str, checkpoint: str):
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        check_corpus(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        found = check_corpus(batch)  # the batch's files are read once, as its manuscripts are persisted
+        found.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        found.prepared.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
