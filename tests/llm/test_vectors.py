@@ -110,10 +110,10 @@ def test_bounds_hold_and_eliminate():
         block = topk.Block(ids, y, d, 10)
         for i in range(0, 200, 7):
             exact = [sum(int(a) * int(b) for a, b in zip(y[i], w)) for w in y]
-            upper = topk.bounds(float((y[i] ** 2).sum()), d[i], topk.norms(y), d, 8)
+            upper = block.bounds((y[i : i + 1] ** 2).sum(axis=1), d[i : i + 1])[0]
             assert all(u >= s for u, s in zip(upper, exact))
             want = sorted((-s, j) for j, s in enumerate(exact) if j != i)[:10]
-            got_ids, got = block.search(i, y[i], d[i])
+            got_ids, got = block.search(i, y[i], upper)
             assert [(int(j), int(s)) for j, s in zip(got_ids, got)] == [(j, -s) for s, j in want]
         assert block.evaluated < 0.5 * len(range(0, 200, 7)) * len(y)
 

@@ -3,8 +3,8 @@
 Integer vectors are compared by squared distance: a score is (|q|^2 + |x|^2 - d^2) / 2.  A pivot table, made
 once and written beside the vectors, holds each vector's distances to a set of pivots; by the triangle inequality the
 largest difference between a query's and a candidate's distances to a pivot is a lower bound of theirs, and
-so bounds the score from above.  Distances are doubles, and each bound is widened by what their rounding can
-be, the pivot's own distance included.  Within a block of candidates, each query evaluates them in the order of
+so bounds the score from above.  Distances are doubles in the table, and each bound is widened by what rounding
+them can be, the pivot's own distance included.  Within a block of candidates, each query evaluates them in the order of
 their bounds and stops when the next bound is below its k-th best score.  Bounds only save work: scores are exact integers.
 
 Queries and candidates are dealt into blocks by hash and every block of queries meets every block of
@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Rows of a candidate block and of a query block at most, about, and block pairs that are wanted at least.
+#: Rows of a candidate block and of a query block at most, about, and block pairs that are wanted at least, as long as blocks of candidates keep so many rows.
 CANDIDATES = 8_192
 QUERIES = 4_096
-PAIRS = 48
+PAIRS, LEAST = 12, 2_048
 #: Pivots, and about how many rows are looked at to choose them.
 PIVOTS = 24
 SAMPLE = 4_096
@@ -57,14 +57,11 @@ def norms(x: np.ndarray) -> np.ndarray:
         return (x * x).sum(axis=1)
 
 
-def bounds(q2: float, to_q: np.ndarray, c2: np.ndarray, to_c: np.ndarray, dim: int) -> np.ndarray:
-    """Upper bounds of a query's scores with candidates, rounding allowed for; infinite where a square overflows."""
-    slack = (dim + 16) * 2.0**-52
-    with np.errstate(over="ignore", invalid="ignore"):
-        gap = np.zeros(len(c2))
-        for a, b in zip(to_q, to_c.T, strict=True):
-            np.maximum(gap, np.nan_to_num(np.abs(b - a) - slack * (a + b), nan=0.0, posinf=0.0, neginf=0.0), out=gap)
-        return np.nan_to_num(0.5 * ((q2 + c2) * (1 + 2 * slack) - gap * gap * (1 - 2 * slack)), nan=np.inf) + 1.0
+#: Bounds are taken in 32 bits, of distances up to FAR (beyond it none is told from another), for so many queries at once.
+FAR = 1e18
+TOGETHER = 16
+#: What a distance may be off by as it is rounded in 64 bits and then to 32, and a square likewise, as shares of it.
+ROUNDED, SQUARED = 2.0**-21, 2.0**-20
 
 
 def _at_most(score: int) -> float:
@@ -92,7 +89,10 @@ class Block:
     def __init__(self, ids: np.ndarray, x: np.ndarray, table: np.ndarray, k: int):
         order = np.argsort(ids, kind="stable")
         self.ids, self.x, self.table, self.k = ids[order], x[order], table[order], k
-        self.squares = norms(self.x)
+        near = np.minimum(self.table, FAR)
+        self.near, self.off = np.ascontiguousarray(near.T.astype(np.float32)), (near.max(axis=1, initial=0) * ROUNDED).astype(np.float32)
+        with np.errstate(over="ignore"):
+            self.half = (norms(self.x) * (0.5 + SQUARED) + 1).astype(np.float32)
         size = np.abs(self.x).max(axis=1, initial=0)
         # Vectors far larger than most are kept apart, or they would make all others dear.
         self.usual = size <= max(2.0**20, 16 * float(np.median(size)) if len(size) else 0)
@@ -121,10 +121,28 @@ class Block:
         out[~plain] = [sum(int(a) * b for a, b in zip(x, whole, strict=True)) for x in self.x[at[~plain]].tolist()]
         return out.astype(np.int64) if all(-(1 << 62) < s < 1 << 62 for s in out) else out
 
-    def search(self, own: int, q: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The k best candidates for a query but those of its own id: ids and scores, best first."""
-        largest, square = float(np.abs(q).max(initial=0)), float(norms(q[None])[0])
-        low = bounds(square, table, self.squares, self.table, len(q))
+    def bounds(self, squares: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """Upper bounds of some queries' scores with all candidates, rounding allowed for."""
+        far = np.minimum(table, FAR).astype(np.float32)
+        gap, now = np.zeros((len(table), len(self.ids)), np.float32), np.empty((len(table), len(self.ids)), np.float32)
+        for p in range(table.shape[1]):
+            np.subtract(self.near[p][None], far[:, p][:, None], out=now)
+            np.abs(now, out=now)
+            np.maximum(gap, now, out=gap)
+        off = (np.minimum(table, FAR).max(axis=1, initial=0) * ROUNDED).astype(np.float32)
+        gap -= self.off[None]
+        gap -= off[:, None]
+        np.maximum(gap, 0, out=gap)
+        np.multiply(gap, gap, out=gap)
+        gap *= np.float32(-0.5 * (1 - SQUARED))
+        gap += self.half[None]
+        with np.errstate(over="ignore"):
+            gap += (squares * (0.5 + SQUARED) + 1).astype(np.float32)[:, None]
+        return gap
+
+    def search(self, own: int, q: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The k best candidates for a query but those of its own id: ids and scores, best first.  `low`: their bounds."""
+        largest = float(np.abs(q).max(initial=0))
         rest, size = np.flatnonzero(self.ids != own), 8 * self.k
         ids, best = np.empty(0, np.int64), np.empty(0, np.int64)
         while len(rest):
@@ -142,6 +160,14 @@ class Block:
             size *= 4
         return ids, best
 
+    def search_all(self, owns: list[int], qs: np.ndarray, table: np.ndarray):
+        """(id, its k best ids, scores) for each query."""
+        squares = norms(qs)
+        for at in range(0, len(owns), TOGETHER):
+            part = slice(at, at + TOGETHER)
+            for own, q, low in zip(owns[part], qs[part], self.bounds(squares[part], table[part]), strict=True):
+                yield own, *self.search(own, q, low)
+
 
 def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(-1, dim)
@@ -201,8 +227,8 @@ def exact_top_k(df: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id
     held = materialize(sound.select("vec_id", "x").mapInArrow(measured, "vec_id bigint, dim int, v binary, d binary"), "pivot_table")
     # Blocks are smaller where there would be too few pairs of them to keep machines busy.
     c_blocks, q_blocks = -(-rows // candidate_rows), -(-max(asked, 1) // query_rows)
-    while c_blocks * q_blocks < PAIRS and rows > 256 * c_blocks:
-        c_blocks, q_blocks = c_blocks * 2, q_blocks * 2 if asked > 256 * q_blocks else q_blocks
+    while c_blocks * q_blocks < PAIRS and rows > LEAST * c_blocks:
+        c_blocks *= 2
 
     def block(salt: int, n: int):
         return F.pmod(F.xxhash64("vec_id", "v", F.lit(salt)), F.lit(n)).cast("int")
@@ -221,8 +247,7 @@ def exact_top_k(df: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id
         width = len(shared.value.get(dim, ()))
         mine = Block(right.column("vec_id").to_numpy(), _matrix(right.column("v"), dim), _table(right.column("d"), width), k)
         out: tuple[list, list, list] = ([], [], [])
-        for own, x, row in zip(left.column("vec_id").to_pylist(), _matrix(left.column("v"), dim), _table(left.column("d"), width), strict=True):
-            ids, scores = mine.search(own, x, row)
+        for own, ids, scores in mine.search_all(left.column("vec_id").to_pylist(), _matrix(left.column("v"), dim), _table(left.column("d"), width)):
             out[0].extend([own] * len(ids))
             out[1].extend(ids.tolist())
             out[2].extend(map(int, scores))
