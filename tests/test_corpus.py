@@ -297,3 +297,48 @@ def test_command_line(spark, folder, tmp_path):
     assert len(pages) == 6 and all(p.html.startswith("<!doctype html>") for p in pages)
     one = spark.read.parquet(out + "/results").where(F.col("result").contains("plain.txt")).first().result
     assert "product" in report.as_text(one).lower() or "S1" in report.as_text(one)
+
+
+def test_review_on_the_command_line(spark, tmp_path, capsys):
+    """JSON on standard output, the exit policy, and a review that changes, dismisses and adds."""
+    from veriloom import __main__ as command
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.md").write_text("# Results\n\nOf the plants, 30/120 (27%) died. We use profound learning.\n")
+    out = str(tmp_path / "out")
+    assert command.main([str(tmp_path / "in"), "--out", out, "--json"]) == 1
+    said = [json.loads(line) for line in capsys.readouterr().out.splitlines() if line.startswith("{")]
+    assert [f["category"] for f in said[0]["findings"]] == ["percent_count_mismatch", "tortured_phrase"] and said[0]["counts"] == {"first": 1, "major": 0, "minor": 1}
+    review = {"path": "a.md/a.md", "summary": "One number is wrong.", "guideline": "STROBE", "items": [{"item": "Setting", "status": "missing", "where": "Methods", "note": "n"}], "edits": [{"id": "S1", "field": "fix", "value": "Print 25%."}], "dismissed": [{"id": "S2", "reason": "a quote"}], "added": [{"title": "Causal <words>", "group": "claims", "severity": "major", "order": "second", "quote": "X"}]}
+    (tmp_path / "review.json").write_text(json.dumps(review) + "\n")
+    assert command.main(["render", out, "--review", str(tmp_path / "review.json")]) == 0
+    page = spark.read.parquet(out + "/reports").first()
+    assert "Print 25%." in page.markdown and "One number is wrong." in page.markdown and "a quote" in page.markdown and "STROBE" in page.markdown
+    assert "Causal &lt;words&gt;" in page.html and "<nav>" in page.html and "R1" in page.html and "<details>" in page.html
+
+
+def test_one_reading_for_all_checks(spark, tmp_path):
+    """All checks together: the manuscripts are scanned once, for the relation that is kept."""
+    from veriloom.plans import report
+
+    rows = [(i, f"\\begin{{document}}Of the plants, {i}/120 (27\\%) died. We use profound learning.\\end{{document}}", "", "en") for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, bib string, language string").write.parquet(str(tmp_path / "docs"))
+    out = report.check_corpus(spark.read.parquet(str(tmp_path / "docs")))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    held = plan[plan.index("InMemoryRelation") :]
+    assert plan.count("FileScan") <= held.count("FileScan")  # every scan of files stands under the relation that is kept
+    once = out.prepared._jdf.queryExecution().executedPlan().toString()
+    assert once.count("FileScan") <= 2 and "hashpartitioning(doc_id" in once
+    assert {r.category for r in out.collect()} >= {"percent_count_mismatch", "tortured_phrase"}
+    out.prepared.unpersist()
+
+
+def test_references_beyond_the_limit(spark):
+    from veriloom.operators import references as R
+    from veriloom.plans import report
+
+    bib = "".join(f"@article{{k{i}, title={{A work of some length number {i}}}, year={{2001}}}}\n" for i in range(203))
+    docs = spark.createDataFrame([(1, "x", bib)], "doc_id long, text string, bib string")
+    lookups = spark.createDataFrame([("u", "{}")], "url string, body string")
+    gaps = {r.item: r.reason for r in report.not_verified(docs, None, R.verdicts(R.entries(docs), lookups)).collect()}
+    assert gaps["References beyond the first 200"] == "3 references were not looked up"

@@ -216,14 +216,14 @@ def reference_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.entries(docs).select("doc_id", "n", "label", "title", "year", "doi")
 
 
-@query("citing_passages", "SELECT p_partkey AS doc_id, i - 1 AS n, CASE WHEN i <= b THEN ['Dunes grow [1-' || b || '].', 'It ends [' || i || '].'][:CASE WHEN i = p_partkey % 4 + 1 THEN 2 ELSE 1 END] ELSE ['It ends [' || i || '].'] END AS passages FROM (SELECT p_partkey, p_partkey % 3 + 2 AS b, unnest(range(1, 7))::INT AS i FROM part) WHERE i <= b OR i = p_partkey % 4 + 1")
+@query("citing_passages", "SELECT p_partkey AS doc_id, i - 1 AS n, CASE WHEN i <= b THEN array_to_string(['Dunes grow [1-' || b || '].', 'It ends [' || i || '].'][:CASE WHEN i = p_partkey % 4 + 1 THEN 2 ELSE 1 END], ' | ') ELSE 'It ends [' || i || '].' END AS passages FROM (SELECT p_partkey, p_partkey % 3 + 2 AS b, unnest(range(1, 7))::INT AS i FROM part) WHERE i <= b OR i = p_partkey % 4 + 1")
 def citing_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranges and single numbers, and the passages around them."""
     entries = "".join(f"[{i}] Writer {i}. A title of work number {i} here. Journal. 2001.\n" for i in range(1, 7))
     text = F.concat(F.lit("We begin. Dunes grow [1-"), (F.col("doc_id") % 3 + 2).cast("string"), F.lit("]. Much sand.\n\nThen rain. It ends ["), (F.col("doc_id") % 4 + 1).cast("string"), F.lit("]. So it was.\nReferences\n" + entries))
     docs = _base(spark, sf_dir, "SELECT p_partkey AS doc_id FROM {part}").select(*document(text))
     cited = references.citing_sentences(docs.withColumn("text", F.split_part("text", F.lit("\nReferences"), F.lit(1))), references.entries(docs))
-    return cited.select("doc_id", "n", F.col("cited_in").alias("passages"))
+    return cited.select("doc_id", "n", F.array_join("cited_in", " | ").alias("passages"))
 
 
 @query("abstracts", "SELECT '10.1000/p' || p_partkey AS doi, 'sand' || p_partkey || ' and sand' || p_partkey || ' grow' AS abstract FROM part")
