@@ -176,4 +176,4 @@ def settled(df: DataFrame, **columns: Column) -> DataFrame:
     generator makes is not.
     """
     names = [x for n, c in columns.items() for x in (F.lit(n), c)]
-    return df.select(*df.columns, F.explode(F.array(F.named_struct(*names))).alias("__settled")).select(*df.columns, "__settled.*")
+    return df.select("*", F.inline(F.array(F.named_struct(*names))))
