@@ -5,6 +5,7 @@ import random
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 DOC = "\\begin{document}\n%s\n\\end{document}"
 
@@ -137,3 +138,13 @@ def test_empty_and_null(spark):
     docs = spark.createDataFrame([(1, "", ""), (2, None, None), (None, "text", "")], "doc_id long, text string, bib string")
     assert report.raw_findings(docs).count() == 0
     assert report.raw_findings(docs.where("false")).count() == 0
+
+
+def test_preprints_a_hundred_thousand_keys_apart(spark, tmp_path):
+    """Each planted reference meets its own lookup and no other's."""
+    from veriloom.plans.planted import reference_search
+
+    keys = [4, 100_004, 1_200_004, 100_005, 5]
+    spark.createDataFrame([(k, f"steel {k}") for k in keys], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    got = sorted((r.doc_id, r.status) for r in reference_search(spark, str(tmp_path)).collect())
+    assert got == sorted((k, "verified" if k % 8 == 4 else "problem") for k in keys)
