@@ -148,3 +148,15 @@ def test_preprints_a_hundred_thousand_keys_apart(spark, tmp_path):
     spark.createDataFrame([(k, f"steel {k}") for k in keys], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
     got = sorted((r.doc_id, r.status) for r in reference_search(spark, str(tmp_path)).collect())
     assert got == sorted((k, "verified" if k % 8 == 4 else "problem") for k in keys)
+
+
+def test_spend_does_not_depend_on_where_orders_lie(spark, tmp_path):
+    """A total of doubles is added up in the order of the orders' keys, as the SQL does in one thread."""
+    from veriloom.plans.registry import prose_table
+
+    prices = [(3, 20528.6), (1, 68603.49), (4, 14980.48), (2, 213023.43)]
+    rows = spark.createDataFrame([(c * 10 + k, c, p) for c in (4, 8, 12) for k, p in prices] + [(1, 16, None)], "o_orderkey long, o_custkey long, o_totalprice double")
+    for n, at in enumerate((1, 4)):
+        rows.repartition(at, "o_orderkey").sortWithinPartitions("o_totalprice").write.parquet(f"{tmp_path}/{n}/orders.parquet")
+        got = {r.doc_id: r.cell for r in prose_table(spark, f"{tmp_path}/{n}").collect()}
+        assert got == {c: 317135 + c / 100 for c in (4, 8, 12)}
