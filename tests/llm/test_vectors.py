@@ -205,3 +205,47 @@ def test_graph_recall():
     n, a, b = shard.links(np.arange(1500), x)
     want = (x @ x.T >= 0.9).sum(axis=1) - 1
     assert (n <= want).all() and n.sum() >= 0.98 * want.sum() and len(a) < 4000
+
+
+def test_few_lists_hold_the_links():
+    """A class asks a few lists and not all vectors, and these hold its links; parts lie together and share a heavy list."""
+    from veriloom.llm import embedding_dedup as E
+    from veriloom.llm.hnsw import Graph
+
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.standard_normal((800, 32)), 5, axis=0) + rng.standard_normal((4000, 32)) * 0.15
+    x = x[rng.permutation(len(x))]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    shard = E.Shard(Graph(x[:64]), np.arange(64), np.ones(64, int), 0.9)
+    r, node, home = shard.asked(x, 4)
+    assert len(r) < 6 * len(x) and (home == shard.homes(x)).all()
+    a, b = np.nonzero(np.triu(x @ x.T >= 0.9, 1))
+    asked = np.zeros((len(x), 64), bool)
+    asked[r, node] = True
+    assert len(a) > 4000 and asked[a, home[b]].mean() >= 0.95
+    lists = [(np.flatnonzero(asked[:, o]), np.flatnonzero(home == o), shard.graph.x[o]) for o in shard.nodes]
+    n, left, right = E.compare(np.arange(len(x)), x, np.arange(len(x)), x, np.ones(len(x), int), 0.9, lists)
+    want = (x @ x.T >= 0.9).sum(axis=1) - 1
+    assert (n <= want).all() and n.sum() >= 0.95 * want.sum() and len(left) < len(x)
+    weight = np.array([len(m) for _, m, _ in lists], float)
+    weight[7] = weight.sum()
+    parts = E.split(shard.graph.x[shard.nodes], weight, 8)
+    assert all(len(p) for p in parts) and set(np.concatenate(parts).tolist()) == set(range(8)) and len(parts[7]) >= 4
+
+
+def test_forest_connects_alike():
+    from veriloom.llm.embedding_dedup import forest
+
+    rng = np.random.default_rng(8)
+    a, b = rng.integers(0, 3000, (2, 1400)) * 7
+    left, right = forest(a, b)
+
+    def least(a, b):
+        root = {int(i): int(i) for i in a.tolist() + b.tolist()}
+        find = lambda i: i if root[i] == i else find(root[i])
+        for i, j in zip(a.tolist(), b.tolist()):
+            i, j = sorted((find(i), find(j)))
+            root[j] = i
+        return {i: find(i) for i in root if find(i) != i}
+
+    assert dict(zip(left.tolist(), right.tolist())) == least(a, b) == least(left, right) and len(left) == len(set(left.tolist()))
