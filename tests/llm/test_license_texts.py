@@ -93,3 +93,17 @@ def test_license_scan(spark):
     assert all(texts[r["doc_id"]][r["block_start"] :].startswith(r["block"]) for r in out if r["doc_id"] != 1)
     assert next(r for r in out if r["doc_id"] == 10)["differences"] == ["+the"]
     assert license_scan(docs.where("false")).count() == 0
+
+
+def test_many_notices_are_each_confirmed(scanner):
+    """Notices of several licenses in one block are told apart however many they are; a long text that was changed stays one block."""
+    from veriloom.llm.licenses import templates
+
+    notices = {"MIT": "This project is licensed under the terms of the MIT License.", "Apache-2.0": "Licensed under the Apache License, Version 2.0.", "GPL-3.0": "This work is licensed under the GNU General Public License, version 3."}
+    for n in (12, 42, 90):
+        names = [list(notices)[i % 3] for i in range(n)]
+        assert [scanner.scan(b)[0] for _, b in scanner.blocks("\n".join(notices[x] for x in names))] == names
+    gpl, mit = templates()["GPL-3.0"], templates()["MIT"]
+    assert [scanner.scan(b)[0] for _, b in scanner.blocks(gpl + "\n" + mit)] == ["GPL-3.0", "MIT"]
+    changed = [scanner.scan(b) for _, b in scanner.blocks(gpl.replace(" program ", " programme ").replace("you may", "thou may"))]
+    assert [(f[0], f[6] >= 0.9) for f in changed] == [("GPL-3.0", True)] and len(changed[0][5]) > 20

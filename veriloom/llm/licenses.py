@@ -71,8 +71,6 @@ SHORT = 12
 GAP, GAP_SHARE = 60, 0.1
 #: Words of a notice that may stand within another sentence, at least; twice as many for a sentence that names no license.
 NOTICE = 4
-#: Blocks of more sentences than this are one license's text or none, and are not looked at for notices of several.
-MOST_PARTS = 40
 #: The largest share of a block's words that may differ from the template's, and of a text's words that must be there for the whole of it.
 DIFFER = 0.34
 WHOLE = 0.9
@@ -175,6 +173,7 @@ class Scanner:
 
     def __init__(self, texts: dict[str, str]) -> None:
         self.templates = [Template(n, texts.get(n, "")) for n in [*NAMES, *sorted(texts.keys() - NAMES.keys())]]
+        self.by_name = {t.name: t for t in self.templates}
         self.plain = zstandard.ZstdCompressor(level=12, write_content_size=False)
         everything = "\n".join([*texts.values(), *(line for t in self.templates for line in t.lines)])
         raw = zstandard.ZstdCompressionDict(everything.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -222,19 +221,40 @@ class Scanner:
 
     def _parts(self, text: str, spans: list[tuple[int, int]]) -> list[tuple[int, str]]:
         """A block, or the parts of it that different templates confirm: where these have fewer differences together than the whole has."""
-        whole, n = self._cut(text, spans), len(spans)
-        most = len(self.scan(whole[1])[5])
-        if n == 1 or n > MOST_PARTS or not most:
+        whole = self._cut(text, spans)
+        all_of = self.scan(whole[1])
+        most = len(all_of[5])
+        if len(spans) == 1 or not most:
             return [whole]
         groups = [spans[:1]]
+        now = self.scan(self._cut(text, groups[-1])[1])
         for span in spans[1:]:
-            now, more = (self.scan(self._cut(text, x)[1]) for x in (groups[-1], [*groups[-1], span]))
+            # What has no difference from the license that confirms the group so far adds none, and the group is not looked at anew.
+            if now[0] and not self.differences(text[groups[-1][-1][1] : span[1]], self.by_name[now[0]])[0]:
+                groups[-1].append(span)
+                continue
+            more = self.scan(self._cut(text, [*groups[-1], span])[1]) if now[0] else now
             if now[0] and more[0] and len(more[5]) <= len(now[5]):
-                groups[-1] = [*groups[-1], span]
+                groups[-1].append(span)
+                now = more
             else:
                 groups.append([span])
+                now = self.scan(self._cut(text, groups[-1])[1])
+        one = self.by_name.get(all_of[0])
+        if one and all_of[6] >= WHOLE:
+            # A whole text that was changed: what its license confirms is its own, though another's wording may be closer there.
+            own: list[tuple[list[tuple[int, int]], bool]] = []
+            for g in groups:
+                differs, n, marked = self.differences(self._cut(text, g)[1], one)
+                mine = marked and len(differs) <= DIFFER * max(n, 1)
+                if mine and own and own[-1][1]:
+                    own[-1][0].extend(g)
+                else:
+                    own.append((list(g), mine))
+            groups = [g for g, _ in own]
         parts = [self._cut(text, g) for g in groups]
-        return parts if sum(len(self.scan(b)[5]) for _, b in parts) < most and all(self.scan(b)[0] for _, b in parts) else [whole]
+        found = [self.scan(b) for _, b in parts]
+        return parts if len(parts) > 1 and sum(len(f[5]) for f in found) < most and all(f[0] for f in found) else [whole]
 
     @staticmethod
     def _cut(text: str, spans: list[tuple[int, int]]) -> tuple[int, str]:
