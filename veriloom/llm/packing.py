@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Mapping
 
 import numpy as np
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, map_texts, materialize
+from .common import keep, map_texts, materialize, release
 
 #: Words that a worker adds to its memo before the memo grows old; the old one is kept as long again.  Longer words are not remembered.
 MEMO = 300_000
@@ -159,11 +160,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, end_id: in
 _CUTS = pa.list_(pa.struct([("piece", pa.int32()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
 
 
-def patterns(lengths: np.ndarray, seq_len: int) -> list[tuple[tuple[int, int], ...]]:
-    """Patterns ((length, copies), ...) over the given lengths that fill `seq_len` exactly.
+def patterns(lengths: np.ndarray, seq_len: int) -> np.ndarray:
+    """Patterns over the given lengths that fill `seq_len` exactly, a row each: three times a length and its copies, 0 and 0 where there are fewer.
 
     All pairs and triples of lengths, and up to eight pieces of two lengths; their number is bounded by
-    `seq_len` squared over six, whatever the corpus.
+    `seq_len` squared over six, whatever the corpus.  As an array they take 24 bytes each on the driver.
     """
     have = np.zeros(seq_len + 1, bool)
     have[lengths[lengths <= seq_len]] = True
@@ -180,14 +181,16 @@ def patterns(lengths: np.ndarray, seq_len: int) -> list[tuple[tuple[int, int], .
             b = rest // n
             ok = (rest % n == 0) & (b > 0) & have[b] & (b != a)
             found.update(tuple(sorted(((x, m), (y, n)), reverse=True)) for x, y in zip(a[ok].tolist(), b[ok].tolist(), strict=True))
-    out = sorted(found, reverse=True)
+    out = [np.array([[*sum(p, ()), 0, 0, 0, 0][:6] for p in sorted(found, reverse=True)], np.int32).reshape(-1, 6)]
     for a in values[values > seq_len // 3].tolist():
         b = values[(values < a) & (values < seq_len - a)]
         c = seq_len - a - b
         ok = (c < b) & (c > 0)
         ok[ok] = have[c[ok]]
-        out += [((a, 1), (x, 1), (y, 1)) for x, y in zip(b[ok].tolist(), c[ok].tolist(), strict=True)]
-    return out
+        triples = np.ones((int(ok.sum()), 6), np.int32)
+        triples[:, 0], triples[:, 2], triples[:, 4] = a, b[ok], c[ok]
+        out.append(triples)
+    return np.concatenate(out)
 
 
 #: What `fit` leaves unexplained of the pieces, as a share, at which it stops; and the most passes over all patterns.
@@ -195,30 +198,36 @@ SETTLED = 1e-4
 SWEEPS = 12
 
 
-def fit(found: list[tuple[tuple[int, int], ...]], histogram: Mapping[int, int], sweeps: int = SWEEPS) -> tuple[np.ndarray, float]:
+#: Patterns that are Python objects at a time.
+AT_ONCE = 4_096
+
+
+def fit(found: np.ndarray, histogram: Mapping[int, int], sweeps: int = SWEEPS) -> tuple[np.ndarray, float]:
     """Repeat counts x >= 0 that minimise the squared difference between the pieces that patterns use and the histogram, and that difference's root over the histogram's.
 
     Non-negative least squares by cyclic coordinate descent, until a pass moves less than SETTLED of the pieces.  Each pass visits the
     patterns in one fixed shuffled order; as early patterns take up what they can, few patterns end above zero, which keeps
     the loss from rounding small.
     """
-    order = np.random.default_rng(7).permutation(len(found)).tolist()
-    x = [0.0] * len(found)
-    rest = {k: float(v) for k, v in histogram.items()}
+    order = np.random.default_rng(7).permutation(len(found))
+    x = array("d", bytes(8 * len(found)))
+    rest = {k: float(v) for k, v in histogram.items()} | {0: 0.0}  # nothing is taken from length 0
     for _ in range(sweeps):
         moved = 0.0
-        for j in order:
-            p = found[j]
-            step = sum(m * rest[k] for k, m in p) / sum(m * m for _, m in p)
-            new = x[j] + step
-            if new < 0.0:
-                new = 0.0
-            d = new - x[j]
-            if d > 1e-3 or d < -1e-3:
-                x[j] = new
-                moved += abs(d)
-                for k, m in p:
-                    rest[k] -= m * d
+        for at in range(0, len(order), AT_ONCE):
+            part = order[at : at + AT_ONCE]
+            for j, (a, m, b, n, c, o) in zip(part.tolist(), found[part].tolist(), strict=True):
+                step = sum((m * rest[a], n * rest[b], o * rest[c])) / (m * m + n * n + o * o)
+                new = x[j] + step
+                if new < 0.0:
+                    new = 0.0
+                d = new - x[j]
+                if d > 1e-3 or d < -1e-3:
+                    x[j] = new
+                    moved += abs(d)
+                    rest[a] -= m * d
+                    rest[b] -= n * d
+                    rest[c] -= o * d
         if moved <= max(1.0, SETTLED * sum(histogram.values())):
             break
     residual = (sum(v * v for v in rest.values()) / max(1.0, sum(float(v) ** 2 for v in histogram.values()))) ** 0.5
@@ -276,16 +285,18 @@ def plan(histogram: Mapping[int, int], seq_len: int) -> list[tuple[tuple[int, ..
     out: list[tuple[tuple[int, ...], int]] = []
     if left.get(seq_len):
         out.append(((seq_len,), left.pop(seq_len)))
-    found = patterns(np.array(sorted(left), np.int64), seq_len) if left else []
-    if found:
+    found = patterns(np.array(sorted(left), np.int64), seq_len)
+    if len(found):
         x, _ = fit(found, left)
-        for j in np.argsort(-x, kind="stable").tolist():
+        for j in np.argsort(-x, kind="stable"):
             if x[j] < 0.5:
                 break
-            n = min(int(x[j] + 0.5), *(left[k] // m for k, m in found[j]))
+            row = found[j].tolist()
+            pattern = [(k, m) for k, m in zip(row[::2], row[1::2], strict=True) if m]
+            n = min(int(x[j] + 0.5), *(left[k] // m for k, m in pattern))
             if n > 0:
-                out.append((tuple(k for k, m in found[j] for _ in range(m)), n))
-                for k, m in found[j]:
+                out.append((tuple(k for k, m in pattern for _ in range(m)), n))
+                for k, m in pattern:
                     left[k] -= m * n
     return out + best_fit({k: v for k, v in left.items() if v}, seq_len)
 
@@ -317,6 +328,7 @@ def pack(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, end_id: int
     held = materialize(pieces(docs, tokenizer_path, seq_len, end_id, id_col, text_col), "pieces")
     histogram = {r[0]: r[1] for r in held.groupBy("length").count().collect()}  # at most seq_len rows
     lengths, firsts, bases, offsets = _slots(plan(histogram, seq_len), seq_len)
+    release()
     groups = max(GROUPS, -(-sum(histogram.values()) // GROUP_ROWS))
     # The pieces are written already, so each keeps its group and its rank when a task is repeated.
     salted = held.withColumn("grp", F.pmod(F.xxhash64("row_id", "piece"), F.lit(groups)))

@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import release, small_batches
 from .labelled import sample
 from .toxicity import score_column, scored
 
@@ -137,6 +137,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_cl
 def model(docs: DataFrame, labels: DataFrame, per_class: int, most_chars: int, id_col: str, text_col: str):
     """A function that loads the fitted model in a worker's task and gives a function of texts."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(*sample(docs, labels, "quality", per_class, most_chars, id_col, text_col)))  # two dictionaries of fixed size
+    release()  # the sample's memory
 
     def load():
         held = shared.value
