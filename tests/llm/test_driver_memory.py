@@ -44,3 +44,13 @@ def test_words_of_a_sample_are_held_in_parts(monkeypatch):
     assert all(np.array_equal(a, b) for a, b in zip(rows, whole.rows(texts), strict=True)) and len(rows) == len(texts)
     assert words.row == whole.row and np.array_equal(words.features, whole.features) and np.array_equal(words.language, whole.language)
     assert T.Words().rows([]) == []
+
+
+def test_written_tables_trim_the_jvm(spark, monkeypatch):
+    """A table that is written has the JVM give memory back, and is written whatever the JVM can."""
+    from veriloom.llm import common
+
+    assert common.trim(spark)
+    calls = []
+    monkeypatch.setattr(common, "trim", lambda s: calls.append(s) and False)
+    assert common.materialize(spark.range(7), "seven").count() == 7 and calls == [spark]
